@@ -186,55 +186,71 @@ def purity(judged: DataFrame, t: float = RELEVANCE_THRESHOLD) -> DataFrame:
     return majority.groupBy("resume_id").agg((F.sum("m") / F.sum("n")).alias("purity"))
 
 
-def _per_resume(judged: DataFrame, judgments: DataFrame, ks: Sequence[int], t: float) -> DataFrame:
-    """One row per resume with results and judgments: all scores and whether each counts."""
-    base = (
-        _list_totals(judged, ks, t)
-        .join(_judged_totals(judgments, ks, t), "resume_id")
-        .join(precision_sums(judged, t), "resume_id", "left")
-        .join(cluster_agreement(judged, t), "resume_id", "left")
-        .join(purity(judged, t), "resume_id", "left")
-    )
-    one, relevant, zero = F.lit(True), F.col("n_relevant"), F.lit(0.0)
-    entries = []
+METRICS = ("ndcg", "precision", "recall", "mrr", "map", "ari", "nmi", "purity")
+METRICS_AT_K = ("ndcg", "precision", "recall")
+
 
-    def add(metric: str, k: int | None, score: Column, valid: Column = one) -> None:
+def _per_resume(
+    judged: DataFrame, judgments: DataFrame, ks: Sequence[int], t: float, metrics: Sequence[str]
+) -> DataFrame:
+    """One row per resume with results and judgments: the scores and whether each counts."""
+    base = _list_totals(judged, ks, t).join(_judged_totals(judgments, ks, t), "resume_id")
+    if "map" in metrics:
+        base = base.join(precision_sums(judged, t), "resume_id", "left")
+    if "ari" in metrics or "nmi" in metrics:
+        base = base.join(cluster_agreement(judged, t), "resume_id", "left")
+    if "purity" in metrics:
+        base = base.join(purity(judged, t), "resume_id", "left")
+
+    relevant = F.col("n_relevant")
+
+    def entry(metric: str, k: int | None) -> tuple[Column, Column]:
+        ideal, hits, length = F.col(f"idcg_{k}"), F.col(f"hits_{k}"), F.col(f"length_{k}")
+        if metric == "ndcg":
+            return F.when(ideal > 0, F.col(f"dcg_{k}") / ideal), F.coalesce(ideal > 0, F.lit(False))
+        if metric == "precision":
+            return F.try_divide(hits, length), length > 0
+        if metric == "recall":
+            return F.when(relevant == 0, 1.0).otherwise(F.try_divide(hits, relevant)), F.lit(True)
+        if metric == "mrr":
+            return F.lit(1.0) / F.col("first_hit"), F.lit(True)
+        if metric == "map":
+            found = F.try_divide(F.col("precision_sum"), relevant)
+            return F.when(relevant == 0, 1.0).otherwise(found), F.lit(True)
+        return F.col(metric), F.lit(True)
+
+    entries = []
+    for metric, k in metric_order(ks, metrics):
+        score, valid = entry(metric, k)
         entries.append(
             F.struct(
                 F.lit(metric).alias("metric"),
                 F.lit(k).cast("int").alias("k"),
-                F.coalesce(score, zero).alias("score"),
+                F.coalesce(score, F.lit(0.0)).alias("score"),
                 valid.alias("valid"),
             )
         )
-
-    for k in ks:
-        ideal, length = F.col(f"idcg_{k}"), F.col(f"length_{k}")
-        add("ndcg", k, F.when(ideal > 0, F.col(f"dcg_{k}") / ideal), F.coalesce(ideal > 0, F.lit(False)))
-        add("precision", k, F.try_divide(F.col(f"hits_{k}"), length), length > 0)
-        add("recall", k, F.when(relevant == 0, 1.0).otherwise(F.try_divide(F.col(f"hits_{k}"), relevant)))
-    add("mrr", None, F.lit(1.0) / F.col("first_hit"))
-    add("map", None, F.when(relevant == 0, 1.0).otherwise(F.try_divide(F.col("precision_sum"), relevant)))
-    for name in ("ari", "nmi", "purity"):
-        add(name, None, F.col(name))
     return base.select("resume_id", F.array(*entries).alias("scores"))
 
 
+def metric_order(ks: Sequence[int], metrics: Sequence[str] = METRICS) -> list[tuple[str, int | None]]:
+    """Report order: the metrics at every k first, then the others."""
+    return [(m, k) for m in METRICS if m in metrics for k in (ks if m in METRICS_AT_K else [None])]
+
+
 def scores(
     judged: DataFrame,
     judgments: DataFrame,
     ks: Sequence[int] = K_VALUES,
     t: float = RELEVANCE_THRESHOLD,
+    metrics: Sequence[str] = METRICS,
 ) -> DataFrame:
-    """``(resume_id, metric, k, score, valid)`` of all metrics; ``valid`` rows form the average."""
-    return _per_resume(judged, judgments, ks, t).select("resume_id", F.inline("scores"))
+    """``(resume_id, metric, k, score, valid)``; the ``valid`` rows form the average."""
+    return _per_resume(judged, judgments, ks, t, metrics).select("resume_id", F.inline("scores"))
 
 
 def averages(scored: DataFrame, ks: Sequence[int] = K_VALUES) -> DataFrame:
     """``(metric, k, average, position)`` in report order; 0.0 where nothing was counted."""
-    names = [(m, k) for m in ("ndcg", "precision", "recall") for k in ks]
-    names += [(m, None) for m in ("mrr", "map", "ari", "nmi", "purity")]
-
     def mean(metric: str, k: int | None) -> Column:
         mine = (F.col("metric") == metric) & (F.col("k") == k if k is not None else F.col("k").isNull())
         total, valid = F.sum(F.when(mine, F.col("score"))), F.count_if(mine & F.col("valid"))
@@ -247,7 +263,7 @@ def averages(scored: DataFrame, ks: Sequence[int] = K_VALUES) -> DataFrame:
             mean(metric, k).alias("average"),
             F.lit(i).alias("position"),
         )
-        for i, (metric, k) in enumerate(names)
+        for i, (metric, k) in enumerate(metric_order(ks))
     ]
     return scored.agg(F.array(*entries).alias("a")).select(F.inline("a"))
 

@@ -165,6 +165,13 @@ def doc_terms(
     return raw.select(doc_id, "term", "tf", (F.col("_w") / length).alias("weight"))
 
 
+def top_terms(df: DataFrame, model: TfidfModel, doc_id: str, text: str = "embedding_text", n: int = TOP_TERMS) -> DataFrame:
+    """``(doc_id, term, place, weight)``: the heaviest terms of each document."""
+    heaviest = Window.partitionBy(doc_id).orderBy(F.desc("weight"), F.desc("term"))
+    placed = doc_terms(df, model, doc_id, text).withColumn("place", F.row_number().over(heaviest))
+    return placed.filter(F.col("place") <= n).select(doc_id, "term", "place", "weight")
+
+
 def repetitions(weight: Column) -> Column:
     """How often a term is appended: 1 to 5, by tenths of its weight."""
     tenths = F.floor(weight * REPEATS_PER_WEIGHT + F.lit(1e-9))

@@ -87,15 +87,23 @@ def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, fix_quirks: boo
         vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector, positive=False
     )
     carried = [c for c in (index.corpus_id, "title", "embedding_text") if c in index.corpus.columns]
-    rows = found.join(index.corpus.select(*carried), index.corpus_id).withColumn(
-        "similarity_percentage", to_percent("score")
-    )
-    if "title" in carried:
+    rows = with_titles(found, index.corpus.select(*carried), index.corpus_id, fix_quirks)
+    return best_titles(rows, n, fix_quirks).select("query_id", "rank", *carried, "similarity_percentage")
+
+
+def with_titles(
+    found: DataFrame, corpus: DataFrame, corpus_id: str = "person_id", fix_quirks: bool = False
+) -> DataFrame:
+    """Candidates with their corpus row, the title as it is displayed, and the percentage."""
+    rows = found.join(corpus, corpus_id).withColumn("similarity_percentage", to_percent("score"))
+    if "title" in rows.columns:
         rows = rows.withColumn("title", standardize("title", fix_quirks=fix_quirks))
-    collapsed = collapse_titles(rows, fix_quirks=fix_quirks)
-    return collapsed.filter(F.col("rank") <= n).select(
-        "query_id", "rank", *carried, "similarity_percentage"
-    )
+    return rows
+
+
+def best_titles(rows: DataFrame, n: int, fix_quirks: bool = False) -> DataFrame:
+    """The first ``n`` per query after near-equal titles have been collapsed."""
+    return collapse_titles(rows, fix_quirks=fix_quirks).filter(F.col("rank") <= n)
 
 
 def match_files(
