@@ -19,6 +19,9 @@ SCORE_DIGITS = 9
 
 def make_block(table: pa.Table, normalize: bool) -> dict:
     """Columns ``id, vector`` (dense) or ``id, keys, values`` (sparse) of an Arrow table."""
+    vectors = table.column("vector" if "vector" in table.column_names else "keys")
+    if vectors.null_count:
+        table = table.filter(pc.is_valid(vectors))
     n = table.num_rows
     ids = table.column("id").to_pandas().to_numpy()
     if "vector" in table.column_names:

@@ -26,11 +26,10 @@ TILE_BYTES = 64 << 20
 
 
 def _side(df: DataFrame, id: str, vector: str | tuple[str, str]) -> DataFrame:
-    if isinstance(vector, str):
-        return df.select(F.col(id).alias("id"), F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
-    keys, values = vector
-    side = df.select(F.col(id).alias("id"), F.col(keys).alias("keys"), F.col(values).alias("values"))
-    return side.filter(F.col("keys").isNotNull())
+    # Null vectors are dropped inside the blocks: a filter here would be pushed below the projection
+    # that computes the vectors and compute them twice.
+    names = {"vector": vector} if isinstance(vector, str) else dict(zip(("keys", "values"), vector))
+    return df.select(F.col(id).alias("id"), *[F.col(c).alias(n) for n, c in names.items()])
 
 
 def _entry_bytes(side: DataFrame) -> Column:

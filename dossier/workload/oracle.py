@@ -54,52 +54,64 @@ def standardized(source: str, column: str) -> str:
         united = f"regexp_replace({united}, '\\b{head}[\\s-]*{tail}\\b', '{(head + tail).capitalize()}', 'gi')"
     compounds = "['frontend', 'backend', 'fullstack']"
     placeholders = {f"__PRESERVED_{i}__": v for i, v in enumerate(PRESERVED_TERMS.values())}
-    steps = f"""
-        trim(regexp_replace({column}, '[;|(].*$', '')) AS t1,
-        replace(t1, '&', ' / ') AS t2,
-        regexp_replace(t2, '\\band\\b', ' / ', 'gi') AS t3,
-        regexp_replace(t3, '\\b[0-9]+\\b', '', 'g') AS t4,
-        regexp_replace(t4, '^({"|".join(CONTRACT_PREFIXES)})\\.?\\s+', '', 'i') AS t5,
-        CASE WHEN contains(t5, ',') THEN trim(split_part(t5, ',', 1)) ELSE t5 END AS t6,
-        regexp_replace(t6, '^({seniority})\\.?\\s*', '', 'i') AS t7,
-        greatest({hits}) AS last_hit,
-        CASE WHEN last_hit < 0 THEN t7 ELSE replace({marked},
-             '__preserved_' || last_hit || '__', '__PRESERVED_' || last_hit || '__') END AS t8,
-        {joined} AS t9,
-        regexp_replace(t9, '\\s*/\\s*', ' / ', 'g') AS t10,
-        regexp_replace({united}, '([a-z])([A-Z])', '\\1 \\2', 'g') AS t12,
-        list_filter(string_split_regex(t12, '\\s+'), lambda x: x <> '') AS w1,
-        list_transform(range(1, len(w1) + 1), lambda i:
-          CASE WHEN list_contains({compounds}, lower(w1[i] || coalesce(w1[i + 1], ''))) AND i < len(w1)
-               THEN lower(w1[i] || w1[i + 1])
-               WHEN i > 1 AND list_contains({compounds}, lower(w1[i - 1] || w1[i])) THEN ''
-               ELSE w1[i] END) AS w2,
-        list_filter(w2, lambda x: x <> '' AND NOT list_contains({string_list(SENIORITY_TERMS)}, lower(x))) AS w3,
-        list_transform(w3, lambda x: coalesce(
-          {case_map("lower(x)", SPECIAL_TERMS)} END, {case_map("x", placeholders)} END,
-          upper(x[1]) || lower(x[2:]))) AS w4,
-        CASE WHEN {column} IS NULL OR {column} = '' THEN 'Unknown Title'
-             ELSE trim(regexp_replace(array_to_string(w4, ' '), '\\s+', ' ', 'g')) END AS standardized
-    """
+    # Every step is a subquery of its own, so that no expression is expanded into the next ones.
+    steps = [
+        ("t1", f"trim(regexp_replace({column}, '[;|(].*$', ''))"),
+        ("t2", "replace(t1, '&', ' / ')"),
+        ("t3", "regexp_replace(t2, '\\band\\b', ' / ', 'gi')"),
+        ("t4", "regexp_replace(t3, '\\b[0-9]+\\b', '', 'g')"),
+        ("t5", f"regexp_replace(t4, '^({'|'.join(CONTRACT_PREFIXES)})\\.?\\s+', '', 'i')"),
+        ("t6", "CASE WHEN contains(t5, ',') THEN trim(split_part(t5, ',', 1)) ELSE t5 END"),
+        ("t7", f"regexp_replace(t6, '^({seniority})\\.?\\s*', '', 'i')"),
+        ("last_hit", f"greatest({hits})"),
+        ("m0", marked),
+        (
+            "t8",
+            "CASE WHEN last_hit < 0 THEN t7 ELSE replace(m0, "
+            "'__preserved_' || last_hit || '__', '__PRESERVED_' || last_hit || '__') END",
+        ),
+        ("t9", joined),
+        ("t10", "regexp_replace(t9, '\\s*/\\s*', ' / ', 'g')"),
+        ("t12", f"regexp_replace({united}, '([a-z])([A-Z])', '\\1 \\2', 'g')"),
+        ("w1", "list_filter(string_split_regex(t12, '\\s+'), lambda x: x <> '')"),
+        (
+            "w2",
+            f"""list_transform(range(1, len(w1) + 1), lambda i:
+            CASE WHEN list_contains({compounds}, lower(w1[i] || coalesce(w1[i + 1], ''))) AND i < len(w1)
+                 THEN lower(w1[i] || w1[i + 1])
+                 WHEN i > 1 AND list_contains({compounds}, lower(w1[i - 1] || w1[i])) THEN ''
+                 ELSE w1[i] END)""",
+        ),
+        ("w3", f"list_filter(w2, lambda x: x <> '' AND NOT list_contains({string_list(SENIORITY_TERMS)}, lower(x)))"),
+        (
+            "w4",
+            f"""list_transform(w3, lambda x: coalesce({case_map("lower(x)", SPECIAL_TERMS)} END,
+            {case_map("x", placeholders)} END, upper(x[1]) || lower(x[2:])))""",
+        ),
+    ]
+    inner = f"(SELECT DISTINCT {column} FROM {source})"
+    for name, expression in steps:
+        inner = f"(SELECT *, {expression} AS {name} FROM {inner})"
     return f"""
-    SELECT * EXCLUDE ({column}, t1, t2, t3, t4, t5, t6, t7, last_hit, t8, t9, t10, t12, w1, w2, w3, w4, standardized),
-           standardized AS {column}
-    FROM (SELECT *, {steps} FROM {source})
+    SELECT s.* EXCLUDE ({column}), d.standardized AS {column}
+    FROM {source} s JOIN (
+      SELECT {column}, CASE WHEN {column} IS NULL OR {column} = '' THEN 'Unknown Title'
+             ELSE trim(regexp_replace(array_to_string(w4, ' '), '\\s+', ' ', 'g')) END AS standardized
+      FROM {inner}) d ON s.{column} IS NOT DISTINCT FROM d.{column}
     """
 
 
 def comparison_keys(source: str, column: str, out: str) -> str:
     """SELECT that adds the comparison key of ``column``."""
+    keyed = standardized(f"(SELECT *, {column} AS k0 FROM ({source}))", "k0")
+    words = f"(SELECT *, regexp_replace(lower(k0), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS k1 FROM ({keyed}))"
+    kept = f"""(SELECT *, list_filter(string_split_regex(trim(k1), '\\s+'),
+        lambda x: x <> '' AND NOT list_contains({string_list(COMPARISON_STOP_WORDS)}, x)) AS k2 FROM {words})"""
     return f"""
     SELECT * EXCLUDE (k0, k1, k2),
            CASE WHEN {column} IS NULL OR {column} = '' THEN '' ELSE array_to_string(list_transform(k2, lambda x:
              {case_map("x", COMPARISON_WORDS)} ELSE x END), ' ') END AS {out}
-    FROM (
-      SELECT *, regexp_replace(lower(k0), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS k1,
-             list_filter(string_split_regex(trim(k1), '\\s+'),
-               lambda x: x <> '' AND NOT list_contains({string_list(COMPARISON_STOP_WORDS)}, x)) AS k2
-      FROM ({standardized(f"(SELECT *, {column} AS k0 FROM ({source}))", "k0")})
-    )
+    FROM {kept}
     """
 
 
@@ -182,12 +194,11 @@ VECTORS = """
 
 def matched(candidates: str, n: int) -> str:
     """CTEs from ranked candidates (query_id, person_id, score, rank, title, ...) to matches."""
-    keyed = comparison_keys(
-        standardized(f"({standardized('cand', 'title')})", "title"), "title", "title_key"
-    )
     return f"""
-    cand AS (SELECT *, round_even(score * 100, 2) AS similarity_percentage FROM ({candidates})),
-    keyed AS ({keyed}),
+    cand AS MATERIALIZED (SELECT *, round_even(score * 100, 2) AS similarity_percentage FROM ({candidates})),
+    once AS MATERIALIZED ({standardized("cand", "title")}),
+    twice AS MATERIALIZED ({standardized("once", "title")}),
+    keyed AS MATERIALIZED ({comparison_keys("SELECT * FROM twice", "title", "title_key")}),
     best AS (
       SELECT * EXCLUDE (title_key) FROM keyed
       QUALIFY row_number() OVER (PARTITION BY query_id, title_key ORDER BY similarity_percentage DESC, rank) = 1),
@@ -450,7 +461,9 @@ def oracle_sql() -> dict[str, str]:
                       FROM documents""",
         "standardize_titles": with_views(f"SELECT person_id, ord, title FROM ({standardized('titles', 'title')})", "titles"),
         "standardize_titles_thrice": with_views(
-            f"SELECT person_id, ord, title FROM ({standardized('(' + standardized('(' + standardized('titles', 'title') + ')', 'title') + ')', 'title')})",
+            f"""WITH once AS MATERIALIZED ({standardized("titles", "title")}),
+                twice AS MATERIALIZED ({standardized("once", "title")})
+                SELECT person_id, ord, title FROM ({standardized("twice", "title")})""",
             "titles",
         ),
         "comparison_key": with_views(
