@@ -26,3 +26,8 @@ def literal_strings(values: list[str]) -> Column:
 
 def literal_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def literal_ints(values: list[int]) -> Column:
+    """A constant integer array, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")

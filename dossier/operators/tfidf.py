@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import literal_strings
+from ..functions.expr import let, literal_ints, literal_strings
 from ..functions.terms import ENGLISH_STOP_WORDS, terms
 
 # Fitting and weighting parameters.
@@ -47,6 +49,25 @@ class TfidfModel:
     def is_small(self) -> bool:
         return self.terms is not None
 
+    @cached_property
+    def counter(self) -> tuple[PipelineModel, list[int]]:
+        """Stages that count, weight and scale known terms, and the term id of each of their slots.
+
+        The counter learns its terms from a one-row table: handing the list over term by term takes
+        seconds. It numbers them in an order of its own, hence the slots.
+        """
+        spark = self.vocabulary.sparkSession
+        listed = spark.range(1).select(literal_strings(self.terms).alias("_terms"))
+        counted = CountVectorizer(
+            inputCol="_terms", outputCol="_tf", vocabSize=len(self.terms), minDF=1.0, minTF=1.0
+        ).fit(listed)
+        place = {term: i for i, term in enumerate(self.terms)}
+        slots = [place[term] for term in counted.vocabulary]
+        weighted = ElementwiseProduct(
+            scalingVec=Vectors.dense([self.idf[i] for i in slots]), inputCol="_tf", outputCol="_w"
+        )
+        return PipelineModel([counted, weighted, Normalizer(p=2.0, inputCol="_w", outputCol="_unit")]), slots
+
     def document_terms(self, text: Column | str) -> Column:
         return terms(text, self.stop_words, self.ngram_range)
 
@@ -113,7 +134,7 @@ def fit(
 
 
 def vectorize(df: DataFrame, model: TfidfModel, text: str = "embedding_text", output: str = "tfidf") -> DataFrame:
-    """Add ``output``: struct of parallel arrays ``idx, tf, weight`` with unit length, in id order.
+    """Add ``output``: struct of parallel arrays ``idx, tf, weight``, of unit length, in no fixed order.
 
     Narrow: the text's terms are counted and weighted inside the row.
     """
@@ -126,16 +147,16 @@ def vectorize(df: DataFrame, model: TfidfModel, text: str = "embedding_text", ou
             F.array().cast("array<double>").alias("weight"),
         )
         return df.withColumn(output, empty)
-    counted = CountVectorizerModel.from_vocabulary(model.terms, inputCol="_terms", outputCol="_tf")
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense(model.idf), inputCol="_tf", outputCol="_w")
-    scaled = Normalizer(p=2.0, inputCol="_w", outputCol="_unit")
-    out = df.withColumn("_terms", model.document_terms(text))
-    for stage in (counted, weighted, scaled):
-        out = stage.transform(out)
-    tf, unit = F.unwrap_udt("_tf"), F.unwrap_udt("_unit")
+    stages, slots = model.counter
+    out = stages.transform(df.withColumn("_terms", model.document_terms(text)))
+    tf, unit, ids = F.unwrap_udt("_tf"), F.unwrap_udt("_unit"), literal_ints(slots)
     return out.withColumn(
         output,
-        F.struct(tf["indices"].alias("idx"), tf["values"].alias("tf"), unit["values"].alias("weight")),
+        F.struct(
+            F.transform(tf["indices"], lambda i: ids[i]).alias("idx"),
+            tf["values"].alias("tf"),
+            unit["values"].alias("weight"),
+        ),
     ).drop("_terms", "_tf", "_w", "_unit")
 
 
@@ -180,11 +201,19 @@ def repetitions(weight: Column) -> Column:
 
 def _appended(entries: Column) -> Column:
     """Suffix for an array of ``(weight, place, term)``: ascending weight when cut, term order otherwise."""
-    size = F.size(entries)
-    by_weight = F.slice(F.array_sort(entries), F.greatest(size - (TOP_TERMS - 1), F.lit(1)), TOP_TERMS)
-    chosen = F.when(size > TOP_TERMS, by_weight).otherwise(entries)
-    pieces = F.transform(chosen, lambda e: F.concat(F.lit(" "), F.repeat(e["term"], repetitions(e["weight"]))))
-    return F.array_join(pieces, "")
+
+    def pieces(ordered: Column) -> Column:
+        repeated = F.transform(
+            ordered, lambda e: F.concat(F.lit(" "), F.repeat(e["term"], repetitions(e["weight"])))
+        )
+        return F.array_join(repeated, "")
+
+    def suffix(e: Column) -> Column:
+        heaviest = F.slice(F.array_sort(e), F.greatest(F.size(e) - (TOP_TERMS - 1), F.lit(1)), TOP_TERMS)
+        in_order = F.array_sort(F.transform(e, lambda x: F.struct(x["place"], x["weight"], x["term"])))
+        return F.when(F.size(e) > TOP_TERMS, pieces(heaviest)).otherwise(pieces(in_order))
+
+    return let(entries, suffix)
 
 
 def weight_text(
@@ -213,8 +242,8 @@ def weight_text(
         .withColumn("_n", F.row_number().over(heaviest))
         .filter(F.col("_n") <= TOP_TERMS + 1)
         .groupBy(doc_id)
-        .agg(F.array_sort(F.collect_list(F.struct("term", entry.alias("e")))).alias("_e"))
+        .agg(F.collect_list(entry).alias("_e"))
     )
-    suffix = kept.select(doc_id, _appended(F.transform("_e", lambda x: x["e"])).alias("_s"))
+    suffix = kept.select(doc_id, _appended(F.col("_e")).alias("_s"))
     appended = F.concat(F.col(text), F.coalesce("_s", F.lit("")))
     return df.join(suffix, doc_id, "left").withColumn(output, appended).drop("_s")

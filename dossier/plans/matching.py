@@ -79,10 +79,11 @@ def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, fix_quirks: boo
     """Best ``n`` corpus rows per ``(query_id, text)`` after collapsing near-equal titles.
 
     Three times as many candidates are fetched, so a query may end up with fewer than ``n``. Queries
-    need a unique ``query_id``.
+    need a unique ``query_id``. Their vectors are written to the shared folder first, so that
+    measuring and sending them does not encode them twice.
     """
     cleaned = queries.select("query_id", clean_text("text").alias("text"))
-    vectors = index.vectors(cleaned, "text", "query_id")
+    vectors = settle(index.vectors(cleaned, "text", "query_id").drop("text"), "queries")
     found = top_k(
         vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector, positive=False
     )

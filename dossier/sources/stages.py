@@ -37,6 +37,15 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core, for work that is heavy per row.
+
+    Only a scan of few splits (one small file) is redistributed; a large one stays as it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def input_fingerprint(spark: SparkSession, files: list[str]) -> str:
     """Digest over path, size and modification time of the input files; contents are not read."""
     if not files:

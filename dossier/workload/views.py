@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stages import spread
+
 # name: body of a SELECT that both engines read.
 VIEWS = {
     "people": """
@@ -77,8 +79,13 @@ TABLES = (
 ).split()
 
 
+# Tables whose texts are tokenized or matched: heavy per row.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXT_TABLES else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
