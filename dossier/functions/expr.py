@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +24,36 @@ def literal_strings(values: list[str]) -> Column:
     return F.split(F.lit("\x01".join(values)), "\x01")
 
 
-def literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+# The larger expressions are written as SQL text: one call to the JVM instead of one per node.
+
+
+def sql_text(value: str) -> str:
+    """A raw SQL string literal."""
+    return 'r"' + value + '"' if "'" in value else "r'" + value + "'"
+
+
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def sql_list(values: Iterable[str]) -> str:
+    return "(" + ", ".join(sql_text(v) for v in values) + ")"
+
+
+def sql_map(entries: Mapping[str, str]) -> str:
+    return "map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in entries.items()) + ")"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_replace(value: str, steps: Iterable[tuple[str, str]]) -> str:
+    """Regular expression replacements, one after the other."""
+    for pattern, replacement in steps:
+        value = f"regexp_replace({value}, {sql_text(pattern)}, {sql_text(replacement)})"
+    return value
 
 
 def literal_ints(values: list[int]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import let, literal_strings
+from .expr import sql_let, sql_list, sql_name, sql_text
 from .text import WORD
 
 TOKEN_PATTERN = WORD + "{2,}"
@@ -28,33 +28,32 @@ would
 """.split()
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of at least two word characters."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all(lower({sql_name(text)}), {sql_text(TOKEN_PATTERN)}, 0)"
 
 
-def ngrams(words: Column, n: int) -> Column:
+def _ngrams(words: str, n: int) -> str:
     """Runs of ``n`` neighbouring words, joined by a space."""
     if n == 1:
         return words
-    last = F.size(words) - (n - 1)
-    run = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, run).otherwise(F.array().cast("array<string>"))
+    run = f"transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' '))"
+    return f"CASE WHEN size({words}) >= {n} THEN {run} ELSE CAST(array() AS array<string>) END"
+
+
+def tokens(text: str) -> Column:
+    """Lower-cased runs of at least two word characters."""
+    return F.expr(_tokens(text))
 
 
 def terms(
-    text: Column | str,
+    text: str,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     ngram_range: tuple[int, int] = (1, 2),
 ) -> Column:
-    """Terms of a text: stop words leave first, then n-grams of every size in the range are built."""
-    kept = tokens(text)
+    """Terms of a text column: stop words leave first, then n-grams of every size are built."""
+    kept = _tokens(text)
     if stop_words:
-        blocked = [w for w in stop_words if w]
-        kept = F.filter(kept, lambda w: ~w.isin(blocked))
+        kept = f"filter({kept}, w -> w NOT IN {sql_list(stop_words)})"
     low, high = ngram_range
-    return let(kept, lambda words: F.concat(*[ngrams(words, n) for n in range(low, high + 1)]))
-
-
-__all__ = ["ENGLISH_STOP_WORDS", "TOKEN_PATTERN", "literal_strings", "ngrams", "terms", "tokens"]
+    runs = ", ".join(_ngrams("words", n) for n in range(low, high + 1))
+    return F.expr(sql_let(kept, "words", f"concat({runs})"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import let, literal_map
-from .text import WHITESPACE, WORD, collapse_whitespace, strip, whole_word
+from .expr import sql_let, sql_list, sql_map, sql_name, sql_replace, sql_text
+from .text import WHITESPACE, WORD, whole_word
 
 # ---- Fixed values: the word lists and spellings that define the title rules. ----
 UNKNOWN_TITLE = "Unknown Title"
@@ -82,8 +82,6 @@ COMPARISON_WORDS = {
 COMPOUND_WORDS = {"front": "end", "back": "end", "full": "stack"}
 # ---- End of fixed values. ----
 
-_ANY_PRESERVED = whole_word("|".join(PRESERVED_TERMS))
-
 # Spellings that a repeated pass must recognize again (used with fix_quirks only).
 _STABLE_SPELLINGS = {
     **PRESERVED_TERMS,
@@ -94,13 +92,11 @@ _STABLE_SPELLINGS = {
 }
 
 
-def _replace_all(c: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in steps:
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+def _collapsed(value: str) -> str:
+    return f"trim({sql_replace(value, [(WHITESPACE + '+', ' ')])})"
 
 
-def _main_role(c: Column, fix_quirks: bool) -> Column:
+def _main_role(title: str, fix_quirks: bool) -> str:
     """Cut the title down to its main role and drop contract and seniority prefixes."""
     if fix_quirks:
         ranks = "|".join(sorted({t.rstrip(".") for t in SENIORITY_TERMS}, key=len, reverse=True))
@@ -108,9 +104,11 @@ def _main_role(c: Column, fix_quirks: bool) -> Column:
     else:
         # The dots in the list stay wildcards and no word end is asked for.
         seniority = rf"(?i)^(?:{'|'.join(SENIORITY_TERMS)})\.?{WHITESPACE}*"
-    return _replace_all(
-        strip(F.regexp_replace(c, r"(?s)[;|(].*$", "")),
+    return sql_replace(
+        title,
         [
+            (r"(?s)[;|(].*$", ""),
+            (rf"^{WHITESPACE}+|{WHITESPACE}+$", ""),
             ("&", " / "),
             ("(?i)" + whole_word("and"), " / "),
             (whole_word(r"\p{Nd}+"), ""),
@@ -121,44 +119,39 @@ def _main_role(c: Column, fix_quirks: bool) -> Column:
     )
 
 
-def _mark_preserved(c: Column) -> Column:
+def _mark_preserved(role: str) -> str:
     """Lower-case titles with a preserved term and turn each term into a numbered placeholder.
 
     Only the placeholder with the highest number keeps its upper-case form, and with it its
     replacement; the others stay visible in the result.
     """
-    marked = [(whole_word(term), f"__preserved_{i}__") for i, term in enumerate(PRESERVED_TERMS)]
-
-    def raise_last(t: Column) -> Column:
-        numbers = F.regexp_extract_all(t, F.lit(r"__preserved_(\d+)__"), F.lit(1))
-        last = F.array_max(F.transform(numbers, lambda n: n.cast("int"))).cast("string")
-        return F.replace(
-            t,
-            F.concat(F.lit("__preserved_"), last, F.lit("__")),
-            F.concat(F.lit("__PRESERVED_"), last, F.lit("__")),
-        )
-
-    return let(
-        c,
-        lambda t: F.when(
-            F.lower(t).rlike(_ANY_PRESERVED),
-            let(_replace_all(F.lower(t), marked), raise_last),
-        ).otherwise(t),
+    marked = sql_replace(
+        "lower(t)", [(whole_word(term), f"__preserved_{i}__") for i, term in enumerate(PRESERVED_TERMS)]
+    )
+    numbers = r"regexp_extract_all(m, r'__preserved_(\d+)__', 1)"
+    last = f"CAST(array_max(transform({numbers}, n -> CAST(n AS int))) AS string)"
+    raised = sql_let(
+        last, "i", "replace(m, concat('__preserved_', i, '__'), concat('__PRESERVED_', i, '__'))"
     )
+    found = f"lower(t) RLIKE {sql_text(whole_word('|'.join(PRESERVED_TERMS)))}"
+    return sql_let(role, "t", f"CASE WHEN {found} THEN {sql_let(marked, 'm', raised)} ELSE t END")
 
 
-def _protect_preserved(c: Column) -> Column:
+def _protect_preserved(role: str) -> str:
     """Lower-case the preserved terms alone, and part them from hyphens (fix_quirks)."""
     terms = "|".join(PRESERVED_TERMS)
-    c = F.regexp_replace(c, rf"(?i)(?<!{WORD})ci\s*/\s*cd(?!{WORD})", "cicd")
-    c = F.regexp_replace(c, rf"(?i)-(?=(?:{terms})(?!{WORD}))", " ")
-    c = F.regexp_replace(c, rf"(?i)(?<!{WORD})({terms})-", "$1 ")
-    for term in PRESERVED_TERMS:
-        c = F.regexp_replace(c, "(?i)" + whole_word(term), term)
-    return c
+    return sql_replace(
+        role,
+        [
+            (rf"(?i)(?<!{WORD})ci\s*/\s*cd(?!{WORD})", "cicd"),
+            (rf"(?i)-(?=(?:{terms})(?!{WORD}))", " "),
+            (rf"(?i)(?<!{WORD})({terms})-", "$1 "),
+            *[("(?i)" + whole_word(term), term) for term in PRESERVED_TERMS],
+        ],
+    )
 
 
-def _join_compounds(c: Column) -> Column:
+def _join_compounds(role: str) -> str:
     """Hyphenated words are joined, slashes are spaced, front end / back end / full stack unite."""
     w = f"({WORD}+)"
     steps = [(f"{w}{gap}{w}", "$1$2") for gap in ("-", " -", "- ", " - ")]
@@ -167,61 +160,55 @@ def _join_compounds(c: Column) -> Column:
         pattern = "(?i)" + whole_word(rf"{head}(?:{WHITESPACE}|-)*{tail}")
         steps.append((pattern, (head + tail).capitalize()))
     steps.append(("([a-z])([A-Z])", "$1 $2"))
-    return _replace_all(c, steps)
+    return sql_replace(role, steps)
 
 
-def _unite_pairs(c: Column) -> Column:
-    """Neighbouring words that together spell a compound become one word.
+def _words(role: str) -> str:
+    """Words of the role; neighbours that together spell a compound become one.
 
-    Every word carries its own pair of spaces here, so that matches never share one.
+    Every word carries its own pair of spaces while compounds are sought, so that matches never
+    share one.
     """
-    padded = F.concat(F.lit(" "), F.replace(collapse_whitespace(c), F.lit(" "), F.lit("  ")), F.lit(" "))
+    steps = []
     for head, tail in COMPOUND_WORDS.items():
         word = head + tail
         cuts = "|".join(f"{word[:i]}  {word[i:]}" for i in range(1, len(word)))
-        padded = F.regexp_replace(padded, f"(?i) (?:{cuts}) ", f" {word} ")
-    return F.filter(F.split(padded, " +"), lambda w: w != "")
+        steps.append((f"(?i) (?:{cuts}) ", f" {word} "))
+    padded = f"concat(' ', replace({_collapsed(role)}, ' ', '  '), ' ')"
+    return f"filter(split({sql_replace(padded, steps)}, ' +'), w -> w <> '')"
 
 
-def _spell(word: Column, spellings: dict[str, str], placeholders: dict[str, str]) -> Column:
-    capitalized = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000_000)))
-    known = [F.try_element_at(literal_map(spellings), F.lower(word))]
-    if placeholders:
-        known.append(F.try_element_at(literal_map(placeholders), word))
-    return F.coalesce(*known, capitalized)
-
-
-def _one_pass(c: Column, fix_quirks: bool) -> Column:
-    role = _main_role(c, fix_quirks)
+def _one_pass(title: str, fix_quirks: bool) -> str:
+    role = _main_role("title", fix_quirks)
     if fix_quirks:
-        marked, spellings, placeholders = _protect_preserved(role), {**SPECIAL_TERMS, **_STABLE_SPELLINGS}, {}
+        role, spellings, placeholders = _protect_preserved(role), {**SPECIAL_TERMS, **_STABLE_SPELLINGS}, {}
     else:
-        marked, spellings = _mark_preserved(role), SPECIAL_TERMS
+        role, spellings = _mark_preserved(role), SPECIAL_TERMS
         placeholders = {f"__PRESERVED_{i}__": v for i, v in enumerate(PRESERVED_TERMS.values())}
-    words = F.filter(_unite_pairs(_join_compounds(marked)), lambda w: ~F.lower(w).isin(SENIORITY_TERMS))
-    spelled = F.array_join(F.transform(words, lambda w: _spell(w, spellings, placeholders)), " ")
-    return F.when(c.isNull() | (c == ""), F.lit(UNKNOWN_TITLE)).otherwise(collapse_whitespace(spelled))
+    words = f"filter({_words(_join_compounds(role))}, w -> lower(w) NOT IN {sql_list(SENIORITY_TERMS)})"
+    known = f"try_element_at({sql_map(spellings)}, lower(w))"
+    if placeholders:
+        known += f", try_element_at({sql_map(placeholders)}, w)"
+    capitalized = "concat(upper(substring(w, 1, 1)), lower(substring(w, 2)))"
+    spelled = f"array_join(transform({words}, w -> coalesce({known}, {capitalized})), ' ')"
+    empty = "title IS NULL OR title = ''"
+    return sql_let(title, "title", f"CASE WHEN {empty} THEN {sql_text(UNKNOWN_TITLE)} ELSE {_collapsed(spelled)} END")
 
 
-def standardize(c: Column | str, passes: int = 1, fix_quirks: bool = False) -> Column:
-    """Standardized job title; ``passes`` repeats the rules, as chained callers do."""
-    c = F.col(c) if isinstance(c, str) else c
+def standardize(column: str, passes: int = 1, fix_quirks: bool = False) -> Column:
+    """Standardized form of a title column; ``passes`` repeats the rules, as chained callers do."""
+    value = f"CAST({sql_name(column)} AS string)"
     for _ in range(passes):
-        c = let(c.cast("string"), lambda t: _one_pass(t, fix_quirks))
-    return c
+        value = _one_pass(value, fix_quirks)
+    return F.expr(value).alias(column)
 
 
-def comparison_key(c: Column | str, fix_quirks: bool = False) -> Column:
+def comparison_key(column: str, fix_quirks: bool = False) -> Column:
     """Key under which near-equal titles meet; null and empty give an empty key."""
-    c = F.col(c) if isinstance(c, str) else c
-
-    def key(t: Column) -> Column:
-        bare = F.regexp_replace(F.lower(standardize(t, 1, fix_quirks)), rf"(?!{WORD}|{WHITESPACE})(?s:.)", "")
-        words = F.filter(
-            F.split(collapse_whitespace(bare), " "),
-            lambda w: (w != "") & ~w.isin(COMPARISON_STOP_WORDS),
-        )
-        mapped = F.transform(words, lambda w: F.coalesce(F.try_element_at(literal_map(COMPARISON_WORDS), w), w))
-        return F.when(t.isNull() | (t == ""), F.lit("")).otherwise(F.array_join(mapped, " "))
-
-    return let(c.cast("string"), key)
+    bare = sql_replace(
+        f"lower({_one_pass('raw', fix_quirks)})", [(rf"(?!{WORD}|{WHITESPACE})(?s:.)", "")]
+    )
+    words = f"filter(split({_collapsed(bare)}, ' '), w -> w <> '' AND w NOT IN {sql_list(COMPARISON_STOP_WORDS)})"
+    mapped = f"transform({words}, w -> coalesce(try_element_at({sql_map(COMPARISON_WORDS)}, w), w))"
+    key = f"CASE WHEN raw IS NULL OR raw = '' THEN '' ELSE array_join({mapped}, ' ') END"
+    return F.expr(sql_let(f"CAST({sql_name(column)} AS string)", "raw", key)).alias("title_key")

@@ -28,9 +28,20 @@ def collapse_titles(
     if title not in matches.columns:
         return matches
     keyed = matches.withColumn(title, standardize(title, passes, fix_quirks))
-    keyed = keyed.withColumn("_key", comparison_key(title, fix_quirks))
-    best = Window.partitionBy(*by, "_key").orderBy(F.desc(score), rank)
-    kept = keyed.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_key")
+    keyed = keyed.withColumn("title_key", comparison_key(title, fix_quirks))
+    return keep_best_titles(keyed, by, score=score, rank=rank)
+
+
+def keep_best_titles(
+    matches: DataFrame,
+    by: tuple[str, ...] = ("query_id",),
+    key: str = "title_key",
+    score: str = "similarity_percentage",
+    rank: str = "rank",
+) -> DataFrame:
+    """The best row per key; the key column leaves and the rank starts anew."""
+    best = Window.partitionBy(*by, key).orderBy(F.desc(score), rank)
+    kept = matches.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", key)
     if not by:
         return kept
     order = Window.partitionBy(*by).orderBy(F.desc(score), rank)

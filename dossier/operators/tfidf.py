@@ -68,7 +68,7 @@ class TfidfModel:
         )
         return PipelineModel([counted, weighted, Normalizer(p=2.0, inputCol="_w", outputCol="_unit")]), slots
 
-    def document_terms(self, text: Column | str) -> Column:
+    def document_terms(self, text: str) -> Column:
         return terms(text, self.stop_words, self.ngram_range)
 
 

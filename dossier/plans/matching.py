@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..functions.titles import standardize
+from ..functions.titles import comparison_key, standardize
 from ..functions.vectors import to_percent
-from ..operators.collapse import collapse_titles, folder_summary, overall_summary, query_summary
+from ..operators.collapse import folder_summary, keep_best_titles, overall_summary, query_summary
 from ..operators.embedding import DIMENSION, Encoder, embed
 from ..operators.similarity import top_k
 from ..operators.tfidf import TfidfModel, fit, vectorize, weight_text
@@ -26,7 +26,10 @@ OVERFETCH = 3
 
 @dataclass
 class MatchIndex:
-    """Corpus ``(person_id, title, embedding_text, vector columns)`` with its model and encoder."""
+    """Corpus ``(person_id, title, shown_title, title_key, embedding_text, vectors)``, model, encoder.
+
+    ``shown_title`` is the title as matches display it, ``title_key`` what near-equal titles share.
+    """
 
     corpus: DataFrame
     model: TfidfModel
@@ -34,21 +37,32 @@ class MatchIndex:
     dim: int = DIMENSION
     sparse: bool = False
     corpus_id: str = "person_id"
-    vector: str | tuple[str, str] = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.vector = ("_keys", "_values") if self.sparse else "embedding"
+    @property
+    def vector(self) -> str | tuple[str, str]:
+        return ("vector_keys", "vector_values") if self.sparse else "embedding"
 
-    def vectors(self, df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    def with_vectors(self, df: DataFrame, text: str, doc_id: str) -> DataFrame:
         """Vector columns for a text: weighted and embedded, or the TF-IDF vector itself."""
         if self.sparse:
-            return vectorize(df, self.model, text, "_v").withColumns(
-                {"_keys": F.col("_v.idx"), "_values": F.col("_v.weight")}
-            ).drop("_v")
+            keys, values = self.vector
+            vectors = vectorize(df, self.model, text, "_v")
+            return vectors.withColumns({keys: F.col("_v.idx"), values: F.col("_v.weight")}).drop("_v")
         weighted = weight_text(df, self.model, text, "_weighted", doc_id=doc_id)
         return embed(weighted, "_weighted", "embedding", self.load_encoder, self.dim).drop("_weighted")
 
 
+def with_title_keys(corpus: DataFrame, fix_quirks: bool = False) -> DataFrame:
+    """Add the displayed title (two more passes of the rules) and its comparison key.
+
+    Done once per corpus row, not once per candidate of every query.
+    """
+    if "title" not in corpus.columns:
+        return corpus
+    shown = corpus.withColumn("shown_title", standardize("title", 2, fix_quirks))
+    return shown.withColumn("title_key", comparison_key("shown_title", fix_quirks))
+
+
 def build_index(
     corpus: DataFrame,
     load_encoder: Callable[[], Encoder] | None = None,
@@ -57,25 +71,28 @@ def build_index(
     path: str | None = None,
     config: Mapping | None = None,
     corpus_id: str = "person_id",
+    fix_quirks: bool = False,
     **fit_options,
 ) -> MatchIndex:
-    """Fit the vocabulary and encode the corpus; with ``path`` the vectors are kept as a stage.
+    """Fit the vocabulary, encode the corpus and write it: every match reads it several times.
 
-    ``config`` must name the encoder and everything else that changes the vectors.
+    With ``path`` it is kept there as a stage and reused; ``config`` must then name the encoder and
+    everything else that changes the vectors. Otherwise it lives in the shared folder.
     """
-    model = fit(corpus, "embedding_text", **fit_options)
-    index = MatchIndex(corpus, model, load_encoder, dim, sparse, corpus_id)
+    index = MatchIndex(corpus, fit(corpus, "embedding_text", **fit_options), load_encoder, dim, sparse, corpus_id)
+
+    def encoded() -> DataFrame:
+        return with_title_keys(index.with_vectors(corpus, "embedding_text", corpus_id), fix_quirks)
+
     if path is None:
-        index.corpus = index.vectors(corpus, "embedding_text", corpus_id)
+        index.corpus = settle(encoded(), "index")
     else:
-        settings = {"dim": dim, "sparse": sparse, "fit": fit_options, **(config or {})}
-        index.corpus = materialize(
-            lambda: index.vectors(corpus, "embedding_text", corpus_id), path, settings, source=corpus
-        )
+        settings = {"dim": dim, "sparse": sparse, "fix_quirks": fix_quirks, "fit": fit_options, **(config or {})}
+        index.corpus = materialize(encoded, path, settings, source=corpus)
     return index
 
 
-def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, fix_quirks: bool = False) -> DataFrame:
+def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N) -> DataFrame:
     """Best ``n`` corpus rows per ``(query_id, text)`` after collapsing near-equal titles.
 
     Three times as many candidates are fetched, so a query may end up with fewer than ``n``. Queries
@@ -83,28 +100,20 @@ def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, fix_quirks: boo
     measuring and sending them does not encode them twice.
     """
     cleaned = queries.select("query_id", clean_text("text").alias("text"))
-    vectors = settle(index.vectors(cleaned, "text", "query_id").drop("text"), "queries")
-    found = top_k(
-        vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector, positive=False
-    )
-    carried = [c for c in (index.corpus_id, "title", "embedding_text") if c in index.corpus.columns]
-    rows = with_titles(found, index.corpus.select(*carried), index.corpus_id, fix_quirks)
-    return best_titles(rows, n, fix_quirks).select("query_id", "rank", *carried, "similarity_percentage")
+    vectors = settle(index.with_vectors(cleaned, "text", "query_id").drop("text"), "queries")
+    found = top_k(vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector)
+    return best_matches(found, index.corpus, n, index.corpus_id)
 
 
-def with_titles(
-    found: DataFrame, corpus: DataFrame, corpus_id: str = "person_id", fix_quirks: bool = False
-) -> DataFrame:
-    """Candidates with their corpus row, the title as it is displayed, and the percentage."""
-    rows = found.join(corpus, corpus_id).withColumn("similarity_percentage", to_percent("score"))
-    if "title" in rows.columns:
-        rows = rows.withColumn("title", standardize("title", fix_quirks=fix_quirks))
-    return rows
-
-
-def best_titles(rows: DataFrame, n: int, fix_quirks: bool = False) -> DataFrame:
-    """The first ``n`` per query after near-equal titles have been collapsed."""
-    return collapse_titles(rows, fix_quirks=fix_quirks).filter(F.col("rank") <= n)
+def best_matches(found: DataFrame, corpus: DataFrame, n: int = TOP_N, corpus_id: str = "person_id") -> DataFrame:
+    """Ranked candidates joined with their corpus rows: percentages, titles collapsed, first ``n``."""
+    names = (corpus_id, "title", "shown_title", "title_key", "embedding_text")
+    carried = [c for c in names if c in corpus.columns]
+    rows = found.join(corpus.select(*carried), corpus_id).withColumn("similarity_percentage", to_percent("score"))
+    if "shown_title" in carried:
+        rows = keep_best_titles(rows.withColumn("title", F.col("shown_title")).drop("shown_title"))
+    columns = [c for c in (corpus_id, "title", "embedding_text") if c in rows.columns]
+    return rows.filter(F.col("rank") <= n).select("query_id", "rank", *columns, "similarity_percentage")
 
 
 def match_files(
@@ -112,7 +121,6 @@ def match_files(
     index: MatchIndex,
     n: int = TOP_N,
     extractors: Mapping[str, Sequence] | None = None,
-    fix_quirks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(extracted texts with an error per failed file, matches of the good ones by path).
 
@@ -120,7 +128,7 @@ def match_files(
     """
     extracted = settle(extract_text(files, extractors), "extracted")
     good = extracted.filter(F.col("error").isNull())
-    return extracted, match(good.select(F.col("path").alias("query_id"), "text"), index, n, fix_quirks)
+    return extracted, match(good.select(F.col("path").alias("query_id"), "text"), index, n)
 
 
 @dataclass

@@ -284,13 +284,17 @@ def sparse_top_k(spark, d):
 
 def _dense_matches(spark, d) -> DataFrame:
     found = similarity.top_k(_vectors(spark, d, "query_id"), _vectors(spark, d, "person_id"), 15)
-    rows = matching.with_titles(found, view(spark, d, "titles").withColumn("embedding_text", F.col("title")))
-    return matching.best_titles(rows, 5)
+    titled = view(spark, d, "titles").withColumn("embedding_text", F.col("title"))
+    return matching.best_matches(found, matching.with_title_keys(titled), 5)
 
 
 @query
 def collapse_titles(spark, d):
-    return _dense_matches(spark, d).select("query_id", "person_id", "rank", "title", "similarity_percentage")
+    found = similarity.top_k(_vectors(spark, d, "query_id"), _vectors(spark, d, "person_id"), 15)
+    rows = found.join(view(spark, d, "titles").drop("ord"), "person_id").withColumn(
+        "similarity_percentage", vectors.to_percent("score")
+    )
+    return collapse.collapse_titles(rows, passes=2).filter("rank <= 5").select("query_id", "person_id", "rank", "title", "similarity_percentage")
 
 
 @query
