@@ -154,8 +154,10 @@ def _protect_preserved(role: str) -> str:
 def _join_compounds(role: str) -> str:
     """Hyphenated words are joined, slashes are spaced, front end / back end / full stack unite."""
     w = f"({WORD}+)"
-    steps = [(f"{w}{gap}{w}", "$1$2") for gap in ("-", " -", "- ", " - ")]
-    steps.append((rf"{WHITESPACE}*/{WHITESPACE}*", " / "))
+    hyphens = [(f"{w}{gap}{w}", "$1$2") for gap in ("-", " -", "- ", " - ")]
+    # Most titles have no hyphen; these patterns try every word, so they only run where one is.
+    role = sql_let(role, "h", f"CASE WHEN contains(h, '-') THEN {sql_replace('h', hyphens)} ELSE h END")
+    steps = [(rf"{WHITESPACE}*/{WHITESPACE}*", " / ")]
     for head, tail in COMPOUND_WORDS.items():
         pattern = "(?i)" + whole_word(rf"{head}(?:{WHITESPACE}|-)*{tail}")
         steps.append((pattern, (head + tail).capitalize()))

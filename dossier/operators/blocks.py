@@ -16,6 +16,10 @@ import pyarrow.compute as pc
 CELLS = 4_000_000
 SCORE_DIGITS = 9
 
+# Keys that many held rows share are scored as a dense matrix product, the others by postings.
+WIDE_KEYS = 512
+WIDE_SHARE = 1 / 64
+
 
 def make_block(table: pa.Table, normalize: bool) -> dict:
     """Columns ``id, vector`` (dense) or ``id, keys, values`` (sparse) of an Arrow table."""
@@ -42,14 +46,36 @@ def make_block(table: pa.Table, normalize: bool) -> dict:
 
 
 def index_block(block: dict) -> dict:
-    """Postings of a sparse block, so that a streamed row only meets rows that share a key."""
+    """A sparse block ready to be met: postings of its rarer keys, a matrix of its most shared ones.
+
+    Postings cost one step per shared key of a pair, which the frequent keys would dominate.
+    """
     if "matrix" in block:
         return block
+    n = block["n"]
     index = pd.Index(pd.unique(block["keys"]))
     codes = index.get_indexer(block["keys"]) if len(index) else np.zeros(0, dtype=np.int64)
-    order = np.argsort(codes, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(index)))]).astype(np.int64)
-    return {**block, "index": index, "starts": starts, "hit_rows": block["rows"][order], "hit_values": block["values"][order]}
+    sizes = np.bincount(codes, minlength=len(index))
+    most = max(1, min(WIDE_KEYS, CELLS // max(n, 1)))
+    wide = np.argsort(-sizes, kind="stable")[:most]
+    wide = wide[sizes[wide] > max(8, n * WIDE_SHARE)]
+    place = np.full(len(index), -1)
+    place[wide] = np.arange(len(wide))
+    matrix, dense = np.zeros((len(wide), n)), place[codes] >= 0
+    np.add.at(matrix, (place[codes[dense]], block["rows"][dense]), block["values"][dense])
+    rare = ~dense
+    order = np.argsort(codes[rare], kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes[rare], minlength=len(index)))]).astype(np.int64)
+    return {
+        "ids": block["ids"],
+        "n": n,
+        "index": index,
+        "place": place,
+        "wide": matrix,
+        "starts": starts,
+        "hit_rows": block["rows"][rare][order],
+        "hit_values": block["values"][rare][order],
+    }
 
 
 def score_chunks(streamed: dict, held: dict) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,6 +91,7 @@ def score_chunks(streamed: dict, held: dict) -> Iterator[tuple[int, np.ndarray]]
     codes = held["index"].get_indexer(streamed["keys"]) if len(held["index"]) else np.full(len(streamed["keys"]), -1)
     known = codes >= 0
     rows, codes, values = streamed["rows"][known], codes[known], streamed["values"][known]
+    place = held["place"][codes]
     hits = held["starts"][codes + 1] - held["starts"][codes]
     cost = np.concatenate([[0], np.cumsum(np.bincount(rows, hits, minlength=n))])
     start = 0
@@ -72,13 +99,19 @@ def score_chunks(streamed: dict, held: dict) -> Iterator[tuple[int, np.ndarray]]
         # As many rows as fit, by width and by the number of shared keys; at least one.
         fit = int(np.searchsorted(cost, cost[start] + CELLS, side="right")) - 1
         stop = max(start + 1, min(n, start + step, fit))
-        a, b = np.searchsorted(rows, [start, stop])
-        h = hits[a:b]
-        first = np.repeat(held["starts"][codes[a:b]] - np.concatenate([[0], np.cumsum(h)[:-1]]) if b > a else h, h)
-        at = first + np.arange(int(h.sum()))
-        cell = np.repeat(rows[a:b] - start, h) * width + held["hit_rows"][at]
-        total = np.bincount(cell, np.repeat(values[a:b], h) * held["hit_values"][at], minlength=(stop - start) * width)
-        yield start, np.round(total.reshape(stop - start, width), SCORE_DIGITS)
+        part = slice(*np.searchsorted(rows, [start, stop]))
+        own, weight, h = rows[part] - start, values[part], hits[part]
+        first = np.repeat(held["starts"][codes[part]] - (np.cumsum(h) - h), h)
+        at = first + np.arange(len(first))
+        cell = np.repeat(own, h) * width + held["hit_rows"][at]
+        total = np.bincount(cell, np.repeat(weight, h) * held["hit_values"][at], minlength=(stop - start) * width)
+        total = total.reshape(stop - start, width)
+        if len(held["wide"]):
+            frequent = np.zeros((stop - start, len(held["wide"])))
+            inside = place[part] >= 0
+            np.add.at(frequent, (own[inside], place[part][inside]), weight[inside])
+            total = total + frequent @ held["wide"]
+        yield start, np.round(total, SCORE_DIGITS)
         start = stop
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.checks import require_columns
+from ..sources.stages import settle
 
 # Evaluation parameters.
 K_VALUES = (3, 5, 10)
@@ -274,8 +275,11 @@ def evaluate(
     ks: Sequence[int] = K_VALUES,
     t: float = RELEVANCE_THRESHOLD,
 ) -> DataFrame:
-    """Average of every metric."""
-    return averages(scores(judge(results, judgments), judgments, ks, t), ks)
+    """Average of every metric.
+
+    The judged results feed several aggregations, so they are written once and read by each.
+    """
+    return averages(scores(settle(judge(results, judgments), "judged"), judgments, ks, t), ks)
 
 
 def report(results: DataFrame, judgments: DataFrame, averaged: DataFrame) -> DataFrame:

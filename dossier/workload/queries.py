@@ -136,17 +136,17 @@ def preview(spark, d):
 
 @query
 def standardize_titles(spark, d):
-    return view(spark, d, "titles").withColumn("title", titles.standardize("title"))
+    return stages.spread(view(spark, d, "titles")).withColumn("title", titles.standardize("title"))
 
 
 @query
 def standardize_titles_thrice(spark, d):
-    return view(spark, d, "titles").withColumn("title", titles.standardize("title", passes=3))
+    return stages.spread(view(spark, d, "titles")).withColumn("title", titles.standardize("title", passes=3))
 
 
 @query
 def comparison_key(spark, d):
-    return view(spark, d, "titles").select("person_id", "title", titles.comparison_key("title").alias("title_key"))
+    return stages.spread(view(spark, d, "titles")).select("person_id", "title", titles.comparison_key("title").alias("title_key"))
 
 
 # ---- corpus
@@ -374,8 +374,9 @@ def _judgments(spark, d) -> DataFrame:
 
 
 def _judged(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    results, judgments = view(spark, d, "results"), _judgments(spark, d)
-    return results, judgments, ranking.judge(results, judgments)
+    """Results, judgments and the judged results; the latter two are read by several aggregations."""
+    results, judgments = view(spark, d, "results"), stages.settle(_judgments(spark, d), "judgments")
+    return results, judgments, stages.settle(ranking.judge(results, judgments), "judged")
 
 
 @query
@@ -395,7 +396,7 @@ def register_results(spark, d):
 
 @query
 def judged_results(spark, d):
-    return _judged(spark, d)[2]
+    return ranking.judge(view(spark, d, "results"), _judgments(spark, d))
 
 
 def _scores(spark, d, metrics=ranking.METRICS) -> DataFrame:
