@@ -33,11 +33,14 @@ def _tokens(text: str) -> str:
 
 
 def _ngrams(words: str, n: int) -> str:
-    """Runs of ``n`` neighbouring words, joined by a space."""
+    """Runs of ``n`` neighbouring words, joined by a space: shorter runs zipped with the next word."""
     if n == 1:
         return words
-    run = f"transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' '))"
-    return f"CASE WHEN size({words}) >= {n} THEN {run} ELSE CAST(array() AS array<string>) END"
+    count = f"greatest(size({words}) - {n - 1}, 0)"
+    shorter = _ngrams(words, n - 1)
+    return (
+        f"zip_with(slice({shorter}, 1, {count}), slice({words}, {n}, {count}), (a, b) -> concat(a, ' ', b))"
+    )
 
 
 def tokens(text: str) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
+# What collapsing has to change: longer runs, and single characters other than a space. Text that is
+# already clean has no match and is passed on as it is.
+UNCOLLAPSED = rf"{WHITESPACE}{{2,}}|(?! ){WHITESPACE}"
+
 # Characters that clean_text deletes.
 DELETED_CHARACTERS = "'\"!"
 
@@ -23,7 +27,7 @@ def whole_word(pattern: str) -> str:
 
 def collapse_whitespace(c: Column) -> Column:
     """Whitespace runs become one space; both ends are trimmed."""
-    return F.trim(F.regexp_replace(c, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, UNCOLLAPSED, " "))
 
 
 def strip(c: Column) -> Column:

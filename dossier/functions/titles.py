@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expr import sql_let, sql_list, sql_map, sql_name, sql_replace, sql_text
-from .text import WHITESPACE, WORD, whole_word
+from .text import UNCOLLAPSED, WHITESPACE, WORD, whole_word
 
 # ---- Fixed values: the word lists and spellings that define the title rules. ----
 UNKNOWN_TITLE = "Unknown Title"
@@ -93,7 +93,7 @@ _STABLE_SPELLINGS = {
 
 
 def _collapsed(value: str) -> str:
-    return f"trim({sql_replace(value, [(WHITESPACE + '+', ' ')])})"
+    return f"trim({sql_replace(value, [(UNCOLLAPSED, ' ')])})"
 
 
 def _main_role(title: str, fix_quirks: bool) -> str:

@@ -75,19 +75,15 @@ class TfidfModel:
 def term_counts(df: DataFrame, text: str, stop_words=ENGLISH_STOP_WORDS, ngram_range=NGRAM_RANGE) -> DataFrame:
     """(term, tf, df): occurrences and documents of every term.
 
-    Each document contributes its terms once for tf and its distinct terms once for df, so both
-    counts come from a single aggregation by term without grouping by document first.
+    The terms of a document are sorted inside its row, so that the first of each run can be marked:
+    occurrences count for tf and marks for df, both in a single aggregation by term.
     """
-    found = df.select(terms(text, stop_words, ngram_range).alias("t"))
-    marked = F.concat(
-        F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("t"),
-            lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-        ),
-    )
+    found = df.select(F.array_sort(terms(text, stop_words, ngram_range)).alias("t"))
+    marked = F.expr("transform(t, (x, i) -> struct(x AS term, int(i = 0 OR t[i - 1] <> x) AS is_first))")
     return (
-        found.select(F.inline(marked)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        found.select(F.inline(marked))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.sum("is_first").alias("df"))
     )
 
 

@@ -13,7 +13,7 @@ from ..functions.titles import comparison_key, standardize
 from ..functions.vectors import to_percent
 from ..operators.collapse import folder_summary, keep_best_titles, overall_summary, query_summary
 from ..operators.embedding import DIMENSION, Encoder, embed
-from ..operators.similarity import top_k
+from ..operators.similarity import HELD_BYTES, top_k
 from ..operators.tfidf import TfidfModel, fit, vectorize, weight_text
 from ..sources.documents import SCANNED_TYPES, extract_text, scan_documents
 from ..sources.sinks import write_json, write_table, write_text
@@ -23,6 +23,9 @@ from ..sources.stages import materialize, settle
 TOP_N = 5
 OVERFETCH = 3
 
+# Size of a candidate row beside its query id: corpus id, score, rank, row header.
+CANDIDATE_BYTES = 128
+
 
 @dataclass
 class MatchIndex:
@@ -102,7 +105,11 @@ def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N) -> DataFrame:
     cleaned = queries.select("query_id", clean_text("text").alias("text"))
     vectors = settle(index.with_vectors(cleaned, "text", "query_id").drop("text"), "queries")
     found = top_k(vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector)
-    return best_matches(found, index.corpus, n, index.corpus_id)
+    # The candidates of a checked number of queries are sent to the corpus rows; otherwise both meet
+    # in a shuffle, which a few candidates would not be worth.
+    id_bytes = F.octet_length(F.col("query_id").cast("string")) + F.lit(CANDIDATE_BYTES)
+    size = vectors.agg(F.coalesce(F.sum(id_bytes), F.lit(0)).alias("b")).first()["b"] * OVERFETCH * n
+    return best_matches(F.broadcast(found) if size <= HELD_BYTES else found, index.corpus, n, index.corpus_id)
 
 
 def best_matches(found: DataFrame, corpus: DataFrame, n: int = TOP_N, corpus_id: str = "person_id") -> DataFrame:

@@ -272,9 +272,12 @@ def dense_top_k(spark, d):
 def sparse_top_k(spark, d):
     docs = _documents(spark, d)
     rows = tfidf.vectorize(docs, tfidf.fit(docs, "text"), "text", "v").select(
-        F.col("doc_id").alias("query_id"), F.col("doc_id").alias("person_id"), F.col("v.idx").alias("keys"),
+        F.col("doc_id").alias("query_id"),
+        F.col("doc_id").alias("person_id"),
+        F.col("v.idx").alias("keys"),
         F.col("v.weight").alias("values"),
     )
+    rows = stages.settle(rows, "vectors")  # both sides of the search read them
     found = similarity.top_k(rows, rows, 5, vector=("keys", "values"), positive=True)
     return found.withColumn("score", F.round("score", 6))
 

@@ -79,13 +79,13 @@ TABLES = (
 ).split()
 
 
-# Tables whose texts are tokenized or matched: heavy per row.
-TEXT_TABLES = ("documents", "conversations", "pages")
+# Tables with text that is cleaned, tokenized or matched: heavy per row.
+SPREAD_TABLES = ("documents", "conversations", "pages", "lineitem")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(scan) if name in TEXT_TABLES else scan
+    return spread(scan) if name in SPREAD_TABLES else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
