@@ -220,10 +220,16 @@ DENSE_MATCHES = (
     )
 )
 
-SPARSE_MATCHES = f"""
+CANDIDATES = """SELECT query_id, r.person_id, score, rank, title, embedding_text
+    FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= 15"""
+
+
+def sparse_matches(queries: str) -> str:
+    """CTEs up to ``matches`` of the query texts against the documents."""
+    return f"""
     corpus AS (SELECT * FROM corpus_documents),
     {tfidf("corpus", "person_id", "embedding_text")},
-    cleaned AS (SELECT query_id, {clean("text")} AS text FROM query_documents),
+    cleaned AS (SELECT query_id, {clean("text")} AS text FROM {queries}),
     query_counts AS (SELECT query_id, term, count(*) AS tf FROM ({tokenized("cleaned", "query_id", "text")}) GROUP BY ALL),
     query_weights AS ({weighted("query_counts", "query_id")}),
     scored AS (
@@ -231,8 +237,21 @@ SPARSE_MATCHES = f"""
       FROM cleaned q CROSS JOIN corpus c LEFT JOIN (
         SELECT query_id, person_id, sum(a.weight * b.weight) AS s
         FROM query_weights a JOIN weights b USING (term) GROUP BY ALL) USING (query_id, person_id)),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored)
-"""
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored),
+    {matched(CANDIDATES, 5)}
+    """
+
+
+def visible_text(html: str) -> str:
+    """Text of a page: no comments, scripts and styles; tags part words; entities are resolved."""
+    out = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
+    out = f"regexp_replace({out}, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs')"
+    out = f"regexp_replace({out}, '<!DOCTYPE[^>]*>', '', 'gi')"
+    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
+    for entity, character in (("quot;", '"'), ("copy;", "©"), ("middot;", "·"), ("amp;?", "&")):
+        out = f"regexp_replace({out}, '&{entity}', {text(character)}, 'g')"
+    return out
+
 
 JUDGED = """
     judgments AS (
@@ -417,6 +436,10 @@ def _links() -> str:
     )
 
 
+CONVERSATIONS = """
+    whole AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+"""
+
 OVERALL = """
     SELECT count(*) AS total_cvs, round_even(avg(a), 2) AS average_similarity,
            round_even(max(a), 2) AS highest_avg_similarity, round_even(min(a), 2) AS lowest_avg_similarity,
@@ -452,6 +475,9 @@ def oracle_sql() -> dict[str, str]:
         "text_audit": f"""SELECT doc_id, md5(t)[1:8] AS text_hash, trim(replace(substr(t, 1, 200), chr(10), ' ')) AS text_preview,
                                  length(t) AS n_chars FROM (SELECT doc_id, {clean("text")} AS t FROM documents)""",
         "extract_documents": f"SELECT 'doc-' || doc_id || '.txt' AS path, {clean('text')} AS text, NULL::VARCHAR AS error FROM documents",
+        "extract_pages": f"""SELECT 'page-' || page_id || '.html' AS path, t AS text, NULL::VARCHAR AS error, md5(t)[1:8] AS text_hash,
+                                    trim(t[1:200]) AS text_preview, length(t) AS n_chars
+                             FROM (SELECT page_id, {clean(visible_text("html"))} AS t FROM pages)""",
         "clean_text": f"SELECT doc_id, {clean('text')} AS text FROM documents",
         "clean_all": f"SELECT conv_id, turn, {clean('role')} AS role, {clean('text')} AS text FROM conversations",
         "clean_title": with_views(f"SELECT person_id, {clean_title('title')} AS title, ord FROM experience", "experience"),
@@ -532,19 +558,23 @@ def oracle_sql() -> dict[str, str]:
         ),
         "overall_summary": with_views(f"WITH {DENSE_MATCHES} {OVERALL}", "titles"),
         "match_documents": with_views(
-            f"""WITH {SPARSE_MATCHES}, {matched('''SELECT query_id, r.person_id, score, rank, title, embedding_text
-                  FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= 15''', 5)}
+            f"""WITH {sparse_matches("query_documents")}
                 SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",
             "corpus_documents",
             "query_documents",
         ),
         "match_files": with_views(
-            f"""WITH {SPARSE_MATCHES}, {matched('''SELECT query_id, r.person_id, score, rank, title, embedding_text
-                  FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= 15''', 5)}
+            f"""WITH {sparse_matches("query_documents")}
                 SELECT 'turn-' || query_id || '.txt' AS query_id, rank, person_id, title, similarity_percentage FROM matches""",
             "corpus_documents",
             "query_documents",
         ),
+        "match_folder": with_views(f"WITH {CONVERSATIONS}, {sparse_matches('whole')} {OVERALL}", "corpus_documents"),
+        "match_arriving_files": with_views(
+            f"""WITH {CONVERSATIONS}, {sparse_matches("whole")}
+                SELECT query_id AS conv_id, rank, person_id, title, similarity_percentage FROM matches""",
+            "corpus_documents",
+        ),
         "load_judgments": with_views(f"WITH {JUDGED} SELECT resume_id, job_id, relevance FROM judgments", *EVALUATION_VIEWS),
         "register_results": """SELECT o_custkey::VARCHAR AS resume_id, o_orderkey::VARCHAR AS job_id, o_orderdate AS batch
                                FROM orders QUALIFY o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey)""",

@@ -96,7 +96,8 @@ def extract_documents(spark, d):
 @query
 def extract_pages(spark, d):
     files = table(spark, d, "pages").select(
-        F.concat("url", F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content")
+        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.encode("html", "utf-8").alias("content"),
     )
     return documents.audit(documents.extract_text(files))
 
@@ -366,7 +367,9 @@ def match_arriving_files(spark, d):
         f"{folder}/*", _index(spark, d, sparse=True), output, fresh(spark, "progress"), types=["txt"]
     )
     running.awaitTermination()
-    return match_stream.stream_matches(spark, output).drop("embedding_text")
+    conversation = F.regexp_extract("query_id", r"conv_id=(\d+)", 1).cast("long")
+    matches = match_stream.stream_matches(spark, output).withColumn("conv_id", conversation)
+    return matches.select("conv_id", "rank", "person_id", "title", "similarity_percentage")
 
 
 # ---- evaluation
