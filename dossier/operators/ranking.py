@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw, seeded
 from ..sources.checks import require_columns
 from ..sources.stages import settle
 
@@ -346,12 +347,11 @@ def best_threshold(grid: DataFrame) -> DataFrame:
 
 def sample_relevance(*parts: Column | str, seed: int = 0) -> Column:
     """Relevance 0-3 with shares .4/.3/.2/.1, drawn from a hash of the ids."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
-    draw = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(10))
+    drawn = draw(seeded(seed, *parts), 10)
     upper, relevance = 0.0, None
     for value, share in SAMPLE_RELEVANCE:
         upper += share
-        test = draw < round(upper * 10)
+        test = drawn < round(upper * 10)
         relevance = F.when(test, value) if relevance is None else relevance.when(test, value)
     return relevance.cast("double")
 

@@ -220,12 +220,10 @@ DENSE_MATCHES = (
     )
 )
 
-CANDIDATES = """SELECT query_id, r.person_id, score, rank, title, embedding_text
-    FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= 15"""
-
-
-def sparse_matches(queries: str) -> str:
-    """CTEs up to ``matches`` of the query texts against the documents."""
+def sparse_matches(queries: str, n: int = 5) -> str:
+    """CTEs up to the ``n`` best ``matches`` of the query texts against the documents."""
+    candidates = f"""SELECT query_id, r.person_id, score, rank, title, embedding_text
+    FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= {3 * n}"""
     return f"""
     corpus AS (SELECT * FROM corpus_documents),
     {tfidf("corpus", "person_id", "embedding_text")},
@@ -238,7 +236,7 @@ def sparse_matches(queries: str) -> str:
         SELECT query_id, person_id, sum(a.weight * b.weight) AS s
         FROM query_weights a JOIN weights b USING (term) GROUP BY ALL) USING (query_id, person_id)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored),
-    {matched(CANDIDATES, 5)}
+    {matched(candidates, n)}
     """
 
 
@@ -262,8 +260,7 @@ JUDGED = """
       SELECT r.resume_id, r.rank, r.job_id, j.relevance FROM results r
       LEFT JOIN judgments j USING (resume_id, job_id)
       WHERE r.resume_id IN (SELECT resume_id FROM judged_resumes)),
-    common AS (SELECT DISTINCT resume_id FROM judged),
-    relevant AS (SELECT resume_id, count(*) FILTER (relevance >= 1.0) AS n FROM judgments GROUP BY resume_id)
+    common AS (SELECT DISTINCT resume_id FROM judged)
 """
 EVALUATION_VIEWS = ("results", "judgment_rows")
 
@@ -302,6 +299,7 @@ _MAP = """
           FROM judged) JOIN relevant USING (resume_id) GROUP BY resume_id, n"""
 
 _CLUSTERS = """
+    relevant AS (SELECT resume_id, count(*) FILTER (relevance >= 1.0) AS n FROM judgments GROUP BY resume_id),
     labelled AS (
       SELECT resume_id, job_id, CASE WHEN max(relevance) >= 1.0 THEN floor(max(relevance))::INT ELSE 0 END AS label,
              (max(rank) - 1) // 5 + 1 AS bucket
@@ -371,17 +369,31 @@ def _one_metric(metric: str) -> str:
     )
 
 
-def _averages() -> str:
-    return f"""
-    WITH {scored(*METRIC_SQL)}, averaged AS (
+_AVERAGED = f"""
+    {_CLUSTERS},
+    scores(resume_id, metric, k, score, valid) AS ({' UNION ALL '.join(sql for parts in METRIC_SQL.values() for sql in parts)}),
+    averaged AS (
       SELECT metric, k, coalesce(sum(score) / nullif(count(*) FILTER (valid), 0), 0) AS average FROM scores GROUP BY ALL)
-    """
+"""
+
+_REPORT = """
+    SELECT metric, k::INT AS k, round_even(average, 4) AS average,
+           (SELECT count(DISTINCT resume_id) FROM results) AS resumes_evaluated,
+           (SELECT count(DISTINCT resume_id) FROM judgments) AS resumes_judged
+    FROM averaged
+"""
+
+
+def _averages() -> str:
+    return f"WITH {JUDGED}, {_AVERAGED}"
 
 
 def _threshold_grid() -> str:
-    grid = ", ".join(f"({t})" for t in THRESHOLD_GRID)
-    return f"""
-    WITH {JUDGED}, thresholds(threshold) AS (VALUES {grid}),
+    return f"WITH {JUDGED}, {_GRID}"
+
+
+_GRID = f"""
+    thresholds(threshold) AS (VALUES {", ".join(f"({t})" for t in THRESHOLD_GRID)}),
     needed AS (
       SELECT threshold, resume_id, count(*) FILTER (relevance >= threshold) AS total
       FROM judgments, thresholds GROUP BY ALL),
@@ -394,7 +406,7 @@ def _threshold_grid() -> str:
              avg(CASE WHEN total = 0 THEN 1.0 ELSE hits / total END) AS recall
       FROM lists JOIN needed USING (threshold, resume_id) GROUP BY threshold),
     grid AS (SELECT threshold::DOUBLE AS threshold, precision, recall, 2 * precision * recall / (precision + recall) AS f1 FROM pr)
-    """
+"""
 
 
 def _sample() -> str:
@@ -416,8 +428,51 @@ def _sample() -> str:
     )
 
 
+WORDS = "list_distinct(list_filter(string_split_regex(trim(title), '\\s+'), lambda x: x <> ''))"
+
+
+def _evaluation() -> str:
+    """The whole evaluation: drawn judgments and texts, matches, links, best threshold, averages."""
+    at_best = _AVERAGED.replace(">= 1.0", ">= (SELECT threshold FROM best_one)")
+    drawn = "('0x' || md5({})[1:8])::BIGINT"
+    return with_views(
+        f"""
+    WITH first_titles AS (SELECT title, min(person_id) AS o FROM corpus_documents GROUP BY title ORDER BY o, title LIMIT 20),
+    titled AS (SELECT title, row_number() OVER (ORDER BY o, title) - 1 AS i, count(*) OVER () AS total FROM first_titles),
+    jobs AS (SELECT 'job_' || n AS job_id, title AS job_title, n FROM range(20) r(n) JOIN titled ON n % total = i),
+    judgment_rows AS (
+      SELECT person_id::VARCHAR AS resume_id, job_id, n AS ord,
+             CASE WHEN d < 4 THEN 0 WHEN d < 7 THEN 1 WHEN d < 9 THEN 2 ELSE 3 END::DOUBLE AS relevance
+      FROM (SELECT *, {drawn.format("'0|' || person_id || '|' || n")} % 10 AS d FROM people, jobs)),
+    numbered AS (
+      SELECT embedding_text, count(*) OVER () AS total,
+             row_number() OVER (ORDER BY {drawn.format("person_id::VARCHAR")} % 4096, person_id) - 1 AS i FROM corpus_documents),
+    chosen AS (
+      SELECT person_id::VARCHAR AS query_id, embedding_text AS text FROM people
+      JOIN numbered ON {drawn.format("'0|' || person_id")} % total = i),
+    {sparse_matches("chosen", 10)},
+    mapping AS (SELECT lower(job_title) AS title, max_by(job_id, n) AS job_id, min(n) AS position FROM jobs GROUP BY 1),
+    wanted AS (SELECT DISTINCT lower(title) AS title FROM matches),
+    pairs AS (
+      SELECT a.title, b.job_id, b.position, count(*) AS overlap
+      FROM (SELECT title, unnest({WORDS}) AS word FROM wanted) a
+      JOIN (SELECT job_id, position, unnest({WORDS}) AS word FROM mapping) b USING (word) GROUP BY ALL),
+    linked AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY title ORDER BY overlap DESC, position) = 1),
+    results AS MATERIALIZED (
+      SELECT query_id AS resume_id, rank, coalesce(job_id, 'job_' || ({drawn.format("lower(m.title)")} % 10000)) AS job_id
+      FROM matches m LEFT JOIN linked l ON lower(m.title) = l.title),
+    {JUDGED}, {_GRID},
+    best_one AS (SELECT threshold FROM grid ORDER BY f1 DESC, threshold LIMIT 1),
+    {at_best}
+    {_REPORT}
+    """,
+        "people",
+        "corpus_documents",
+    )
+
+
 def _links() -> str:
-    words = "list_distinct(list_filter(string_split_regex(trim(title), '\\s+'), lambda x: x <> ''))"
+    words = WORDS
     return with_views(
         f"""
     WITH mapping AS (
@@ -586,10 +641,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "evaluation_averages": with_views(_averages() + " SELECT metric, k::INT AS k, round(average, 6) AS average FROM averaged", *EVALUATION_VIEWS),
         "evaluation_report": with_views(
-            _averages()
-            + """ SELECT metric, k::INT AS k, round_even(average, 4) AS average,
-                  (SELECT count(DISTINCT resume_id) FROM results) AS resumes_evaluated,
-                  (SELECT count(DISTINCT resume_id) FROM judgments) AS resumes_judged FROM averaged""",
+            _averages() + _REPORT,
             *EVALUATION_VIEWS,
         ),
         "threshold_grid": with_views(
@@ -600,6 +652,7 @@ def oracle_sql() -> dict[str, str]:
             _threshold_grid() + " SELECT threshold, round(f1, 6) AS f1 FROM grid ORDER BY f1 DESC, threshold LIMIT 1", *EVALUATION_VIEWS
         ),
         "sample_judgments": _sample(),
+        "evaluate_matcher": _evaluation(),
         "link_titles": _links(),
         "number_rows": "SELECT count(*) AS n, 0 AS lowest, count(*) - 1 AS highest, count(*) AS numbers FROM lineitem",
     }
