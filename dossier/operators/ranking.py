@@ -285,17 +285,17 @@ def evaluate(
 
 def report(results: DataFrame, judgments: DataFrame, averaged: DataFrame) -> DataFrame:
     """Averages in fixed order with the counts of evaluated and judged resumes."""
-    evaluated = results.agg(F.count_distinct(F.col("resume_id")).alias("resumes_evaluated"))
-    with_judgments = judgments.agg(F.count_distinct(F.col("resume_id")).alias("resumes_judged"))
-    counts = evaluated.withColumn("_one", F.lit(1)).join(with_judgments.withColumn("_one", F.lit(1)), "_one")
-    return (
-        averaged.withColumn("_one", F.lit(1))
-        .join(counts, "_one")
-        .select(
-            "position", "metric", "k", F.bround("average", 4).alias("average"), "resumes_evaluated", "resumes_judged"
-        )
-        .orderBy("position")
-    )
+    def resumes(df: DataFrame, name: str) -> Column:
+        return df.agg(F.count_distinct("resume_id").alias(name)).scalar().alias(name)
+
+    return averaged.select(
+        "position",
+        "metric",
+        "k",
+        F.bround("average", 4).alias("average"),
+        resumes(results, "resumes_evaluated"),
+        resumes(judgments, "resumes_judged"),
+    ).orderBy("position")
 
 
 def threshold_grid(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_all, first_title
 from ..functions.titles import standardize
@@ -39,6 +41,14 @@ def prepare(
     return prepared
 
 
+def _triple_ordinal(facts: DataFrame) -> DataFrame:
+    """Ordinals of tables from one file and from several, in one type."""
+    if isinstance(facts.schema["_ord"].dataType, T.StructType):
+        return facts
+    triple = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col("_ord").cast("long").alias("row"))
+    return facts.withColumn("_ord", triple)
+
+
 def joined_profiles(
     prepared: Mapping[str, DataFrame],
     people: str = "people",
@@ -52,7 +62,7 @@ def joined_profiles(
     aggregation and a join per table.
     """
     base = prepared[people]
-    taken, facts, order = set(base.columns), None, []
+    taken, parts, order = set(base.columns), [], []
     for name, table in prepared.items():
         if name == people:
             continue
@@ -63,10 +73,12 @@ def joined_profiles(
                 taken.add(fields[column])
         if fields:
             order += fields.values()
-            part = long_facts(table, key, ord, fields)
-            facts = part if facts is None else facts.unionByName(part)
-    if facts is None:
+            parts.append(long_facts(table, key, ord, fields))
+    if not parts:
         return base
+    if len({p.schema["_ord"].dataType.simpleString() for p in parts}) > 1:
+        parts = [_triple_ordinal(p) for p in parts]
+    facts = reduce(DataFrame.unionByName, parts)
     return base.join(concat_facts(facts, key, order, keep_blanks=keep_blanks), key, "left")
 
 

@@ -26,12 +26,18 @@ NULL_TOKENS = [
 CORPUS_COLUMNS = ["person_id", "embedding_text"]
 
 
-def source_ordinal() -> Column:
-    """Position of a row in its source: file, block, row. Sorts in file order."""
+def source_ordinal(files: Sequence[str]) -> Column:
+    """Position of a row in its source, in file order.
+
+    For one file it is a long, which aggregations keep in a hash map: the start of the row's split
+    plus its number in the partition. A partition holds fewer rows than a split has bytes, so splits
+    do not overlap. Several files need the triple of file, split and row, which sorts the same way.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if len(files) <= 1:
+        return F.col("_metadata.file_block_start") + row
     return F.struct(
-        F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), row.alias("row")
     )
 
 
@@ -63,7 +69,7 @@ def read_csv(
         for c in raw.columns
     ]
     if ord:
-        columns.append(source_ordinal().alias(ord))
+        columns.append(source_ordinal(raw.inputFiles()).alias(ord))
     return raw.select(*columns)
 
 

@@ -111,3 +111,33 @@ def test_filter_reaches_the_scan(spark):
     scan = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
     plan = C.filter_ids(scan, "o_orderkey", 10)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(o_orderkey,10)" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_csv_order_over_splits_and_files(spark, tmp_path):
+    values = [f"v{i % 700:03d}" for i in range(20_000)]
+    for i, part in enumerate((values[:9000], values[9000:])):
+        (tmp_path / f"part-{i}.csv").write_text("person_id,v\n" + "".join(f"1,{v}\n" for v in part))
+    whole = tmp_path / "whole.csv"
+    whole.write_text("person_id,v\n" + "".join(f"1,{v}\n" for v in values))
+    want = "; ".join(dict.fromkeys(values))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for path, kind in ((whole, "bigint"), (tmp_path / "part-*.csv", "struct")):
+            read = profiles.read_csv(spark, str(path))
+            assert read.rdd.getNumPartitions() > 3 and dict(read.dtypes)["ord"].startswith(kind)
+            got = C.concat_by_key(read)
+            assert rows(got) == [(1, want)]
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("SortAggregate" in plan) == (kind == "struct")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_from_one_and_several_files_join(spark, folder, tmp_path):
+    tables = profiles.read_profiles(spark, folder)
+    parts = tables["abilities"].repartition(3).sortWithinPartitions("ord").drop("ord")
+    read = profiles.read_csv(spark, sinks.write_table(parts, str(tmp_path / "abilities"), "csv"))
+    mixed = corpus_build.build({**tables, "abilities": read})
+    assert {r["person_id"] for r in mixed.collect()} == {1, 2, 4}
