@@ -175,3 +175,31 @@ def test_index_is_reused(spark, corpus, tmp_path):
     assert rows(first.corpus) == rows(again.corpus)
     matching.build_index(source, dim=16, path=path, config={"encoder": "hash"}, min_df=1)
     assert len(list((tmp_path / "index").iterdir())) == 2
+
+
+def test_match_equals_brute_force(spark, corpus, index):
+    import numpy as np
+
+    texts = [("a", "java spring pipelines"), ("b", "customers figma calls"), ("c", "nothing shared")]
+    queries = spark.createDataFrame(texts, "query_id string, text string")
+
+    def dense(df, id):
+        out = {}
+        for r in df.collect():
+            v = np.zeros(2048)
+            if index.sparse:
+                v[r["vector_keys"]] = r["vector_values"]
+            else:
+                v[: len(r["embedding"])] = r["embedding"]
+            out[r[id]] = v / (np.linalg.norm(v) or 1.0)
+        return out
+
+    q, c = dense(index.with_vectors(queries, "text", "query_id"), "query_id"), dense(index.corpus, "person_id")
+    titles, found = {p: t for p, t, _ in PEOPLE}, []
+    for i, v in q.items():
+        scored = sorted(((round(float(v @ w), 9), p) for p, w in c.items()), key=lambda x: (-x[0], x[1]))[:6]
+        found += [(i, r + 1, p, titles[p], round(s * 100, 2)) for r, (s, p) in enumerate(scored)]
+    schema = "query_id string, rank int, person_id int, title string, similarity_percentage double"
+    want = collapse.collapse_titles(spark.createDataFrame(found, schema), passes=2).filter("rank <= 2")
+    columns = ("query_id", "rank", "person_id", "title", "similarity_percentage")
+    assert rows(matching.match(queries, index, 2), *columns) == rows(want, *columns)
