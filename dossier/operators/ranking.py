@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw, seeded
 from ..sources.checks import require_columns
-from ..sources.stages import settle
 
 # Evaluation parameters.
 K_VALUES = (3, 5, 10)
@@ -278,9 +277,10 @@ def evaluate(
 ) -> DataFrame:
     """Average of every metric.
 
-    The judged results feed several aggregations, so they are written once and read by each.
+    The judged results feed several aggregations, which share the exchanges of the join. Results that
+    are expensive to compute should be a written table.
     """
-    return averages(scores(settle(judge(results, judgments), "judged"), judgments, ks, t), ks)
+    return averages(scores(judge(results, judgments), judgments, ks, t), ks)
 
 
 def report(results: DataFrame, judgments: DataFrame, averaged: DataFrame) -> DataFrame:
