@@ -306,8 +306,10 @@ def train(documents: DataFrame | None = None, id: str = "doc_id", text: str = "t
     x = [describe(t, k, a, b) for t, k, a, b, _ in made]
     y = [float(label) for *_, label in made]
     if documents is not None:
-        sample = documents.filter(F.col(text).rlike("[0-9]")).select(F.col(id).alias("i"), F.col(text).alias("t"))
-        sample = sample.orderBy(F.xxhash64("i"), "i", "t").limit(max_texts)
+        # Ids first: whole texts of the sample only travel to it.
+        told = documents.filter(F.col(text).rlike("[0-9]"))
+        chosen = told.select(id).orderBy(F.xxhash64(id), id).limit(max_texts).distinct()
+        sample = told.select(id, F.col(text).alias("t")).join(F.broadcast(chosen), id)
         # No more examples from the corpus than made ones.
         found = sample.mapInArrow(_confirmed, "x array<double>, y double").orderBy(F.xxhash64("x"), "x", "y").limit(len(made))
         for row in found.collect():

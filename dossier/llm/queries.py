@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ordinal, packing, pii, rules
+from . import chat, mixing, ngram_join, ordinal, packing, pii, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def op1_mix_sources(spark, d):
     return mixing.taken(mixing.mix(table(spark, d, "documents")))
 
 
+@query
+def op3_ngram_join(spark, d):
+    return ngram_join.group(table(spark, d, "documents"))
+
+
 @query
 def op4_format_chats(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
