@@ -18,31 +18,63 @@ from ..sources.stages import settle
 from .components import components
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column]) -> DataFrame:
+HOT = 64  # items of a key from which on pairs are told apart by all hot keys they share
+
+
+def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column]) -> DataFrame:
     """``node`` and ``label`` of every item linked with another one.
 
-    ``postings``: (key, item, size); ``may``: whether items of two sizes can be linked at all;
+    ``postings``: (key, item, size, most, head), ``most`` being the largest part of the item that
+    another one can share; a key joins two items only if it is a ``head`` key of the smaller one.
+    ``may(x, y)``: whether the items whose columns start with ``x`` and ``y`` can be linked at all;
     ``verify``: the linked ones among distinct pairs (a, b).
     """
     near = settle(postings.distinct(), "postings")
-    lead = near.groupBy("key").agg(F.min(F.struct(F.xxhash64("item"), "item", "size")).alias("lead"))
-    lead = lead.select("key", F.col("lead.item").alias("leader"), F.col("lead.size").alias("leader_size"))
-    first = near.join(lead, "key").filter("item <> leader").filter(may(F.col("size"), F.col("leader_size")))
-    tried = settle(_pairs(first, "item", "leader"), "pairs")
+
+    def meet(x: str, y: str) -> Column:
+        first = F.struct(f"{x}size", f"{x}item") < F.struct(f"{y}size", f"{y}item")
+        return may(x, y) & F.when(first, F.col(f"{x}head")).otherwise(F.col(f"{y}head"))
+
+    # The leader is the item with the least that is its own: the nearest to what the others share.
+    own = 1 - F.col("most") / F.col("size")
+    lead = near.groupBy("key").agg(F.min(F.struct(F.round(own, 6), F.xxhash64("item"), "item", "size", "most", "head")).alias("lead"))
+    lead = lead.select("key", *(F.col(f"lead.{c}").alias(f"other_{c}") for c in ("item", "size", "most", "head")))
+    first = near.join(lead, "key").filter("item <> other_item").filter(meet("", "other_"))
+    tried = settle(_pairs(first), "pairs")
     links = settle(verify(tried), "links")
     labels = settle(components(links), "labels")
 
     marked = near.join(labels.withColumnRenamed("node", "item"), "item", "left")
     marked = settle(marked.withColumn("label", F.coalesce("label", "item")), "marked")
-    main = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("item"), "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    rest = marked.join(main, "key").filter("label <> main").select(
-        "key", F.col("item").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label")
+    main = lead.join(marked.select("key", F.col("item").alias("other_item"), F.col("label").alias("main")), ["key", "other_item"])
+    rest = marked.join(main.select("key", "main"), "key").filter("label <> main")
+    rest = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("item", "size", "most", "head", "label")))
+    # Items that share many hot keys meet at the least of these only.
+    hot = marked.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= HOT).select("key")
+    hot = settle(hot, "hot")
+    lists = marked.join(hot, "key", "left_semi").groupBy("item").agg(
+        F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("head"), F.col("key"))).alias("heads")
+    )
+    lists = settle(lists, "hot-keys")
+    other_lists = lists.select(*(F.col(c).alias(f"other_{c}") for c in lists.columns))
+
+    def cross(rest: DataFrame, marked: DataFrame, once: Column | None = None) -> DataFrame:
+        joined = rest.join(marked, "key").filter("label <> other_label").filter(meet("", "other_"))
+        return (joined if once is None else joined.filter(once)).select("item", "other_item")
+
+    first = F.struct("size", "item") < F.struct("other_size", "other_item")
+    common = F.when(first, F.array_intersect("heads", "other_all")).otherwise(F.array_intersect("other_heads", "all"))
+    second = cross(rest.join(hot, "key", "left_anti"), marked.join(hot, "key", "left_anti")).unionByName(
+        cross(
+            rest.join(hot, "key", "left_semi").join(other_lists, "other_item"),
+            marked.join(hot, "key", "left_semi").join(lists, "item"),
+            F.col("key") == F.array_min(common),
+        )
     )
-    second = rest.join(marked, "key").filter("label <> other_label").filter(may(F.col("size"), F.col("other_size")))
-    open_ = settle(_pairs(second, "item", "other").join(tried, ["a", "b"], "left_anti"), "pairs")
+    open_ = settle(_pairs(second).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = settle(verify(open_), "links")
     return components(links.unionByName(more))
 
 
-def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
-    return rows.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("item", "other_item").alias("a"), F.greatest("item", "other_item").alias("b")).distinct()

@@ -18,9 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..sources.stages import settle
 from . import linking
@@ -106,10 +105,15 @@ class Order:
         return np.where(self.gram[at] == h, self.rank[at], -1)
 
 
-def _prefix(h: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Positions of the n-grams that come first: one more than may be missing in a linked set."""
-    keep = len(h) - -(-percent * len(h) // 100) + 1
-    return np.lexsort((h, rank))[:keep]
+def _prefix(h: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Positions of the n-grams that come first: one more than may be missing in a linked set.
+
+    With a set of its own size or a larger one a set has to share more: the head of the prefix, of
+    the length given, is enough then.
+    """
+    n = len(h)
+    keep = n - -(-percent * n // 100) + 1
+    return np.lexsort((h, rank))[:keep], n - -(-2 * percent * n // (100 + percent)) + 1
 
 
 def _columns(arrays: list[np.ndarray], names: list[str], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -118,27 +122,28 @@ def _columns(arrays: list[np.ndarray], names: list[str], rows: int = 200_000) ->
 
 
 def prefixes(documents: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """(key, item, frequent): the n-grams of the prefix of every class, once per task."""
+    """(key, item, head, frequent): the n-grams of the prefix of every class, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = order.value, set()
         for batch in batches:
             for _, sets in _sets(batch, width):
-                keys, items, often = [], [], []
+                keys, items, heads, often = [], [], [], []
                 for h in sets:
                     if not len(h) or (cls := _signature(h)) in seen:
                         continue
                     seen.add(cls)
                     rank = known.ranks(h)
-                    first = _prefix(h, rank, percent)
+                    first, head = _prefix(h, rank, percent)
                     keys.append(h[first])
                     items.append(np.full(len(first), cls, np.int64))
+                    heads.append(np.arange(len(first)) < head)
                     often.append(rank[first] >= 0)
                 if keys:
-                    arrays = [np.concatenate(keys).astype(np.int64), np.concatenate(items), np.concatenate(often)]
-                    yield from _columns(arrays, ["key", "item", "frequent"])
+                    arrays = [np.concatenate(keys).astype(np.int64), *map(np.concatenate, (items, heads, often))]
+                    yield from _columns(arrays, ["key", "item", "head", "frequent"])
 
-    return documents.mapInArrow(run, "key long, item long, frequent boolean")
+    return documents.mapInArrow(run, "key long, item long, head boolean, frequent boolean")
 
 
 def segments(documents: DataFrame, order, width: int) -> DataFrame:
@@ -205,8 +210,8 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
     named = read.filter("id is not null")
     first = prefixes(named, order, width, percent)
     both = Window.partitionBy("key")
-    rare = first.filter("not frequent").select("key", "item", F.min("item").over(both).alias("lo"), F.max("item").over(both).alias("hi"))
-    near = settle(rare.filter("lo < hi").select("key", "item").unionByName(first.filter("frequent").select("key", "item")), "near")
+    rare = first.filter("not frequent").select("key", "item", "head", F.min("item").over(both).alias("lo"), F.max("item").over(both).alias("hi"))
+    near = settle(rare.filter("lo < hi").drop("lo", "hi").unionByName(first.filter("frequent").drop("frequent")).distinct(), "near")
     wanted = settle(near.select(F.col("item").alias("class")).distinct(), "wanted")
     sets = settle(segments(named, order, width).join(wanted, "class", "left_semi").dropDuplicates(["class", "fragment"]), "sets")
     sizes = rows.filter("class is not null").select("class", "n").distinct()
@@ -217,8 +222,18 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
         counted = overlaps(pairs, sets).join(n("a"), "a").join(n("b"), "b")
         return counted.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
-    may = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    postings = near.join(sizes.withColumnRenamed("class", "item"), "item").select("key", "item", F.col("n").alias("size"))
+    # What a class kept of its prefix bounds its overlap with any other: the rest is its own.
+    kept = near.groupBy(F.col("item").alias("class")).agg(F.count(F.lit(1)).alias("kept"))
+    bounds = sizes.join(kept, "class").withColumn("most", F.expr(f"least(n, kept - 1 + ceil({percent} * n / 100))"))
+    bounds = bounds.select(F.col("class").alias("item"), F.col("n").alias("size"), F.col("most").cast("long").alias("most"))
+    postings = near.join(bounds, "item")
+
+    def may(x: str, y: str) -> Column:
+        size = F.col(f"{x}size") + F.col(f"{y}size")
+        return (100 * F.least(f"{x}size", f"{y}size") >= percent * F.greatest(f"{x}size", f"{y}size")) & (
+            (100 + percent) * F.least(f"{x}most", f"{y}most") >= percent * size
+        )
+
     labels = linking.connect(postings, verify, may)
 
     # Classes that have no link are their own component; its id is the smallest id in it.
