@@ -22,14 +22,14 @@ HOT = 64  # items of a key from which on pairs are told apart by all hot keys th
 
 
 def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column]) -> DataFrame:
-    """``node`` and ``label`` of every item linked with another one.
+    """``node`` and ``label`` of every item linked with another one; ``postings`` has distinct rows of a written table.
 
     ``postings``: (key, item, size, most, head), ``most`` being the largest part of the item that
     another one can share; a key joins two items only if it is a ``head`` key of the smaller one.
     ``may(x, y)``: whether the items whose columns start with ``x`` and ``y`` can be linked at all;
     ``verify``: the linked ones among distinct pairs (a, b).
     """
-    near = settle(postings.distinct(), "postings")
+    near = postings
 
     def meet(x: str, y: str) -> Column:
         first = F.struct(f"{x}size", f"{x}item") < F.struct(f"{y}size", f"{y}item")
@@ -45,7 +45,9 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may:
     labels = settle(components(links), "labels")
 
     marked = near.join(labels.withColumnRenamed("node", "item"), "item", "left")
-    marked = settle(marked.withColumn("label", F.coalesce("label", "item")), "marked")
+    marked = marked.withColumn("label", F.coalesce("label", "item"))
+    spans = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
+    marked = settle(marked.join(spans.filter("lo < hi and m > 2").select("key"), "key", "left_semi"), "open")
     main = lead.join(marked.select("key", F.col("item").alias("other_item"), F.col("label").alias("main")), ["key", "other_item"])
     rest = marked.join(main.select("key", "main"), "key").filter("label <> main")
     rest = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("item", "size", "most", "head", "label")))

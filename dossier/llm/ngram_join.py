@@ -211,23 +211,27 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
     first = prefixes(named, order, width, percent)
     both = Window.partitionBy("key")
     rare = first.filter("not frequent").select("key", "item", "head", F.min("item").over(both).alias("lo"), F.max("item").over(both).alias("hi"))
-    near = settle(rare.filter("lo < hi").drop("lo", "hi").unionByName(first.filter("frequent").drop("frequent")).distinct(), "near")
-    wanted = settle(near.select(F.col("item").alias("class")).distinct(), "wanted")
-    sets = settle(segments(named, order, width).join(wanted, "class", "left_semi").dropDuplicates(["class", "fragment"]), "sets")
-    sizes = rows.filter("class is not null").select("class", "n").distinct()
-    sizes = settle(sizes.join(wanted, "class", "left_semi"), "sizes")
+    near = rare.filter("lo < hi").drop("lo", "hi").unionByName(first.filter("frequent").drop("frequent"))
+    near = near.repartition("item").groupBy("item", "key").agg(F.max("head").alias("head"))
+
+    # What a class kept of its prefix bounds its overlap with any other: the rest is its own. Of two
+    # linked classes at least one (the core) can share as much as its own size asks for, so keys
+    # without such a class lead nowhere.
+    sizes = rows.filter("class is not null").select(F.col("class").alias("item"), F.col("n").alias("size")).distinct()
+    kept = F.count(F.lit(1)).over(Window.partitionBy("item"))
+    most = F.expr(f"least(size, kept - 1 + ceil({percent} * size / 100))").cast("long")
+    near = settle(near.withColumn("kept", kept).join(sizes, "item").withColumn("most", most).drop("kept"), "near")
+    core = near.filter(f"({100 + percent}) * most >= {2 * percent} * size").select("key").distinct()
+    postings = settle(near.join(core, "key", "left_semi"), "postings")
+    wanted = settle(postings.select(F.col("item").alias("class"), F.col("size").alias("n")).distinct(), "wanted")
+    sets = segments(named, order, width).join(wanted, "class", "left_semi").dropDuplicates(["class", "fragment"])
+    sets = settle(sets, "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        n = lambda side: sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"))
+        n = lambda side: wanted.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"))
         counted = overlaps(pairs, sets).join(n("a"), "a").join(n("b"), "b")
         return counted.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
-    # What a class kept of its prefix bounds its overlap with any other: the rest is its own.
-    kept = near.groupBy(F.col("item").alias("class")).agg(F.count(F.lit(1)).alias("kept"))
-    bounds = sizes.join(kept, "class").withColumn("most", F.expr(f"least(n, kept - 1 + ceil({percent} * n / 100))"))
-    bounds = bounds.select(F.col("class").alias("item"), F.col("n").alias("size"), F.col("most").cast("long").alias("most"))
-    postings = near.join(bounds, "item")
-
     def may(x: str, y: str) -> Column:
         size = F.col(f"{x}size") + F.col(f"{y}size")
         return (100 * F.least(f"{x}size", f"{y}size") >= percent * F.greatest(f"{x}size", f"{y}size")) & (

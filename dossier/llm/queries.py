@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, ordinal, packing, pii, rules
+from . import chat, mixing, ngram_join, ordinal, packing, paragraph_dedup, pii, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,18 @@ def op8_pack_tokens(spark, d):
     return packed(table(spark, d, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op10_paragraph_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    gone = paragraph_dedup.spans(docs)
+    marked = docs.select("doc_id", paragraph_dedup.row_key("doc_id", "text").alias("row")).join(gone, "row", "left")
+    one = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    found = F.coalesce("spans", F.array().cast(paragraph_dedup.SPANS))
+    return marked.select(
+        "doc_id",
+        F.size(found).cast("long").alias("n_removed"),
+        F.aggregate(found, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform(found, one), ",").alias("spans"),
+    )
