@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import mixing, pii, queries
+from dossier.llm import mixing, ngram_join, pii, queries
 from dossier.sources.stages import shared_dir
 
 
@@ -17,6 +17,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.graded(docs, labels).filter("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; rows without an id stay."""
+    kept = ngram_join.group(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind."""
     spans = pii.find(docs, pii.train(docs))
@@ -36,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", quality),
+    ("ngram_join", near_duplicates),
     ("personal_data", personal_data),
     ("mix_sources", mix),
     ("pack_tokens", pack),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, ordinal, packing, paragraph_dedup, pii, rules
+from . import chat, mixing, ngram_join, nn_descent, ordinal, packing, paragraph_dedup, pii, rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def op1_mix_sources(spark, d):
     return mixing.taken(mixing.mix(table(spark, d, "documents")))
 
 
+@query
+def op2_nearest_neighbours(spark, d):
+    return nn_descent.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op3_ngram_join(spark, d):
     return ngram_join.group(table(spark, d, "documents"))
@@ -88,6 +93,11 @@ def op8_pack_tokens(spark, d):
     )
 
 
+@query
+def op9_suffix_dedup(spark, d):
+    return suffix_dedup.dedup(table(spark, d, "documents")).drop("spans")
+
+
 @query
 def op10_paragraph_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
