@@ -281,14 +281,15 @@ def texts(mixed: Mix, documents: DataFrame, id: str = "doc_id", text: str = "tex
         .select("row_key", "size", "spans")
     )
     names = documents.columns
-    known = documents.withColumn("row_key", row_key(id, text, source)).dropDuplicates(["row_key"])
+    # The row travels as one value, so that its columns clash with none of these.
+    known = documents.select(row_key(id, text, source).alias("row_key"), F.struct("*").alias("whole")).dropDuplicates(["row_key"])
 
     @F.pandas_udf("string")
     def cut(whole: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, int(n), s) for t, n, s in zip(whole, size, spans, strict=True)], dtype=object)
 
-    joined = known.join(spans, "row_key")
-    return joined.withColumn(text, cut(F.col(text), F.col("size"), F.col("spans"))).select(*names)
+    joined = known.join(spans, "row_key").withColumn("cut", cut(F.col("whole")[text], F.col("size"), F.col("spans")))
+    return joined.select(*(F.col("cut").alias(n) if n == text else F.col("whole")[n].alias(n) for n in names))
 
 
 _WORD = re.compile(WORD)

@@ -35,6 +35,7 @@ BEAM = 48  # nodes that a query expands in a step
 POOL = 224  # nodes that a query remembers
 STEPS = 8
 PIVOTS = 64
+LOW = -1e300  # below any product
 FOUND = "array<struct<id:long,score:double>>"
 
 
@@ -75,6 +76,17 @@ def prepare(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", lifted("v"))
 
 
+def as_queries(nodes: DataFrame) -> DataFrame:
+    """(query_id, q, qx) of nodes: a query has nothing in the graph's own component, so products keep their order."""
+
+    @F.pandas_udf("binary")
+    def flat(v: pd.Series) -> pd.Series:
+        m = np.stack(v.to_list()) if len(v) else np.zeros((0, 1))
+        return pd.Series(_packed(np.c_[m, np.zeros(len(m))]))
+
+    return nodes.select(F.col("id").alias("query_id"), F.col("v").alias("q"), flat("v").alias("qx"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     """Rows of one key after another, from batches sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -233,14 +245,14 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, steps
     told = queries.select("query_id", "qx")
     start = found(told, enter("qx", "query_id"))
     near = told.join(lists, told["query_id"] == lists["key"])
-    near = found(near, step("qx", "query_id", "near", "xs", F.lit(-9.0)))
+    near = found(near, step("qx", "query_id", "near", "xs", F.lit(LOW)))
     pool = settle(best(start.unionByName(near).select("*", new)), "pool")
     for _ in range(steps):
         front = pool.filter(~F.col("expanded")).withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
         front = front.filter(F.col("turn") <= BEAM).select("query_id", "id")
         least = pool.filter(F.col("place") == POOL).select("query_id", F.col("score").alias("least"))
         walk = front.join(told.join(least, "query_id", "left"), "query_id").join(lists, F.col("id") == F.col("key"))
-        fresh = found(walk, step("qx", "query_id", "near", "xs", F.coalesce("least", F.lit(-9.0))))
+        fresh = found(walk, step("qx", "query_id", "near", "xs", F.coalesce("least", F.lit(LOW))))
         done = front.withColumn("now", F.lit(True))
         marked = pool.join(done, ["query_id", "id"], "left").withColumn("expanded", F.col("expanded") | F.coalesce("now", F.lit(False)))
         pool = settle(best(marked.select("query_id", "id", "score", "expanded").unionByName(fresh.select("*", new))), "pool")
@@ -262,4 +274,4 @@ def nearest(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str =
     """The ``k`` nearest other rows of those rows whose ``id`` fulfils ``queries``, a condition on ``id``."""
     nodes = settle(prepare(usable(rows, id, vector)), "nodes")
     graph = build(nodes)
-    return search(nodes.filter(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("x").alias("qx")), nodes, graph, k)
+    return search(settle(as_queries(nodes.filter(queries)), "queries"), nodes, graph, k)
