@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, clean_title
 
 # Constants of the corpus build.
-MAX_PERSON_ID = 54928
 SEPARATOR = "; "
 PART_SEPARATOR = " | "
 UNKNOWN_ABILITY = "Unknown ability"
@@ -24,15 +23,15 @@ PERSONAL_COLUMNS = {
 }
 
 
-def filter_ids(df: DataFrame, key: str = "person_id", max_id: int | None = MAX_PERSON_ID) -> DataFrame:
-    """Keep rows whose integer id is at most ``max_id``; frames without the column pass through.
+def filter_ids(df: DataFrame, key: str = "person_id", max_id: int | None = None) -> DataFrame:
+    """Keep rows whose integer id is at most ``max_id`` (none: all); frames without the column pass through.
 
     Only a text id needs a cast; an integer one is compared as it is, so the filter reaches the scan.
     """
     if max_id is None or key not in df.columns:
         return df
     numeric = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    return df.filter((F.col(key) if numeric else F.col(key).try_cast("int")) <= max_id)
+    return df.filter((F.col(key) if numeric else F.col(key).try_cast("bigint")) <= max_id)
 
 
 def long_facts(df: DataFrame, key: str, ord: str, fields: Mapping[str, str]) -> DataFrame:

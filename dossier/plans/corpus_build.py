@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from ..functions.text import clean_all, first_title
 from ..functions.titles import standardize
 from ..operators.corpus import (
-    MAX_PERSON_ID,
     PERSONAL_COLUMNS,
     compose_text,
     concat_facts,
@@ -25,7 +24,7 @@ from ..operators.corpus import (
 
 
 def prepare(
-    tables: Mapping[str, DataFrame], key: str = "person_id", ord: str = "ord", max_id: int | None = MAX_PERSON_ID
+    tables: Mapping[str, DataFrame], key: str = "person_id", ord: str = "ord", max_id: int | None = None
 ) -> dict[str, DataFrame]:
     """Tables without personal columns and out-of-range ids, cleaned, titles cut to the first one.
 
@@ -86,7 +85,7 @@ def build(
     tables: Mapping[str, DataFrame],
     key: str = "person_id",
     ord: str = "ord",
-    max_id: int | None = MAX_PERSON_ID,
+    max_id: int | None = None,
     keep_blanks: bool = False,
     fix_quirks: bool = False,
 ) -> DataFrame:

@@ -63,7 +63,7 @@ def read_csv(
     )
     tokens = list(null_tokens)
     columns = [
-        F.col(f"`{c}`").try_cast("int").alias(c)
+        F.col(f"`{c}`").try_cast("bigint").alias(c)
         if c == key
         else F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c)
         for c in raw.columns
@@ -98,4 +98,4 @@ def read_corpus(spark: SparkSession, path: str, format: str = "parquet") -> Data
         reader = reader.option("header", True).option("escape", '"')
     corpus = require_columns(reader.format(format).load(path), CORPUS_COLUMNS, "corpus")
     kind = corpus.schema["person_id"].dataType
-    return corpus if isinstance(kind, T.IntegralType) else corpus.withColumn("person_id", F.col("person_id").cast("int"))
+    return corpus if isinstance(kind, T.IntegralType) else corpus.withColumn("person_id", F.col("person_id").cast("bigint"))

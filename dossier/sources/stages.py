@@ -49,7 +49,7 @@ def spread(scan: DataFrame) -> DataFrame:
 def input_fingerprint(spark: SparkSession, files: list[str]) -> str:
     """Digest over path, size and modification time of the input files; contents are not read."""
     if not files:
-        return "none"
+        raise ValueError("a frame without input files cannot be told from another one: give source=, a frame read from files")
     listed = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
     row = listed.agg(
         F.count(F.lit(1)).alias("n"),

@@ -123,12 +123,12 @@ def concatenated(source: str, column: str, out: str) -> str:
 
 
 PREPARED = f"""
-    abilities_p AS (SELECT person_id, {clean("ability")} AS ability, ord FROM abilities WHERE person_id <= 54928),
-    education_p AS (SELECT person_id, {clean("degree")} AS degree, ord FROM education WHERE person_id <= 54928),
+    abilities_p AS (SELECT person_id, {clean("ability")} AS ability, ord FROM abilities),
+    education_p AS (SELECT person_id, {clean("degree")} AS degree, ord FROM education),
     experience_p AS (SELECT person_id, trim(split_part({clean("title")}, ';', 1)) AS title, ord
-                     FROM experience WHERE person_id <= 54928),
-    skills_p AS (SELECT person_id, {clean("skill")} AS skill, ord FROM person_skills WHERE person_id <= 54928),
-    people_p AS (SELECT person_id, {clean("segment")} AS segment, ord FROM people WHERE person_id <= 54928),
+                     FROM experience),
+    skills_p AS (SELECT person_id, {clean("skill")} AS skill, ord FROM person_skills),
+    people_p AS (SELECT person_id, {clean("segment")} AS segment, ord FROM people),
     profiles AS (
       SELECT * FROM people_p
       LEFT JOIN ({concatenated("abilities_p", "ability", "ability")}) USING (person_id)

@@ -26,7 +26,7 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_mini_corpus(spark, folder, partitions):
     tables = {n: t.repartition(partitions) for n, t in profiles.read_profiles(spark, folder).items()}
-    corpus = corpus_build.build(tables)
+    corpus = corpus_build.build(tables, max_id=54928)
     columns = ("person_id", "ability", "degree", "title", "skill", "embedding_text")
     assert rows(corpus, *columns) == [
         (1, "Data Mining; SQL", "BSc", "Data Scientist", "Python",
@@ -50,7 +50,7 @@ def test_corpus_columns_are_checked(spark, tmp_path):
     with pytest.raises(checks.MissingInput, match="embedding_text"):
         profiles.read_corpus(spark, path, "csv")
     path = sinks.write_table(df.withColumnRenamed("other", "embedding_text"), str(tmp_path / "d"), "csv")
-    assert profiles.read_corpus(spark, path, "csv").dtypes == [("person_id", "int"), ("embedding_text", "string")]
+    assert profiles.read_corpus(spark, path, "csv").dtypes == [("person_id", "bigint"), ("embedding_text", "string")]
 
 
 def test_csv_order_follows_the_file(spark, tmp_path):
@@ -103,7 +103,10 @@ def test_join_profiles_renames_clashes(spark):
 
 def test_filter_ids(spark):
     df = spark.createDataFrame([("54928",), ("54929",), ("x",)], "person_id string")
-    assert rows(C.filter_ids(df)) == [("54928",)]
+    assert rows(C.filter_ids(df, max_id=54928)) == [("54928",)]
+    assert C.filter_ids(df).count() == 3
+    large = spark.createDataFrame([("3000000000",), ("60000",)], "person_id string")
+    assert C.filter_ids(large, max_id=4_000_000_000).count() == 2
     assert rows(C.filter_ids(df.withColumnRenamed("person_id", "k"))) == rows(df)
 
 
