@@ -26,11 +26,13 @@ CHUNK_RANKS = 4096
 
 
 def load_judgments(df: DataFrame, ord: str = "ord") -> DataFrame:
-    """``(resume_id, job_id, relevance)``, ids as text; the last row of a pair wins."""
+    """``(resume_id, job_id, relevance)``, ids as text; the last row of a pair wins, of equal ones the best."""
     require_columns(df, ["resume_id", "job_id", "relevance"])
     return df.groupBy(
         F.col("resume_id").cast("string").alias("resume_id"), F.col("job_id").cast("string").alias("job_id")
-    ).agg(F.max_by(F.col("relevance").cast("double"), ord).alias("relevance"))
+    ).agg(F.max(F.struct(F.col(ord).alias("o"), F.col("relevance").cast("double").alias("r"))).alias("last")).select(
+        "resume_id", "job_id", F.col("last.r").alias("relevance")
+    )
 
 
 def register_results(results: DataFrame, batch: str = "batch") -> DataFrame:

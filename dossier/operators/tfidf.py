@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let, literal_ints, literal_strings
 from ..functions.terms import ENGLISH_STOP_WORDS, terms
+from ..sources.stages import settle
 
 # Fitting and weighting parameters.
 MAX_FEATURES = 10_000
@@ -33,6 +34,10 @@ REPEATS_PER_WEIGHT = 10
 BROADCAST_TERMS = 500_000
 BROADCAST_BYTES = 64 << 20
 
+# Terms of a larger vocabulary that are sent all the same: the most frequent, 3 MB at most.
+FREQUENT_TERMS = 10_000
+FREQUENT_TERM_BYTES = 200
+
 
 @dataclass
 class TfidfModel:
@@ -110,12 +115,12 @@ def fit(
     vocabulary = counts.withColumn("idf", idf)
     model = TfidfModel(vocabulary, n_docs, list(stop_words), ngram_range)
     if max_features is None:
+        model.vocabulary = settle(vocabulary, "vocabulary")
         return model
-    capped = vocabulary.orderBy(F.desc("tf"), "term").limit(max_features)
+    capped = settle(vocabulary.orderBy(F.desc("tf"), "term").limit(max_features), "vocabulary")
     model.vocabulary = capped
     if max_features > broadcast_terms:
         return model
-    capped.persist()
     size = capped.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()["b"]
     if size <= BROADCAST_BYTES:
         rows = sorted(capped.collect(), key=lambda r: r["term"].encode())
@@ -125,7 +130,6 @@ def fit(
             [(r["term"], i, r["tf"], r["df"], r["idf"]) for i, r in enumerate(rows)],
             "term string, idx int, tf long, df long, idf double",
         )
-        capped.unpersist()
     return model
 
 
@@ -177,7 +181,12 @@ def doc_terms(
         .groupBy(doc_id, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    raw = counted.join(model.vocabulary.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    # A frequent term may be in most documents: those are sent to the rows, the others meet by term.
+    short = F.octet_length("term") <= FREQUENT_TERM_BYTES
+    frequent = model.vocabulary.filter(short).orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).select("term", "idf")
+    marked = counted.join(F.broadcast(frequent), "term", "left")
+    rest = marked.filter(F.col("idf").isNull()).drop("idf").join(model.vocabulary.select("term", "idf"), "term")
+    raw = marked.filter(F.col("idf").isNotNull()).unionByName(rest).withColumn("_w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", "tf", (F.col("_w") / length).alias("weight"))
 

@@ -14,7 +14,7 @@ from ..functions.vectors import to_percent
 from ..operators.collapse import folder_summary, keep_best_titles, overall_summary, query_summary
 from ..operators.embedding import DIMENSION, Encoder, embed
 from ..operators.similarity import HELD_BYTES, top_k
-from ..operators.tfidf import TfidfModel, fit, vectorize, weight_text
+from ..operators.tfidf import TfidfModel, doc_terms, fit, vectorize, weight_text
 from ..sources.documents import SCANNED_TYPES, extract_text, scan_documents
 from ..sources.sinks import write_json, write_table, write_text
 from ..sources.stages import materialize, settle
@@ -26,6 +26,8 @@ OVERFETCH = 3
 # Size of a candidate row beside its query id: corpus id, score, rank, row header.
 CANDIDATE_BYTES = 128
 
+TERM_ENTRIES = "array<struct<term:string,weight:double>>"
+
 
 @dataclass
 class MatchIndex:
@@ -47,6 +49,12 @@ class MatchIndex:
 
     def with_vectors(self, df: DataFrame, text: str, doc_id: str) -> DataFrame:
         """Vector columns for a text: weighted and embedded, or the TF-IDF vector itself."""
+        if self.sparse and not self.model.is_small:
+            keys, values = self.vector
+            entry = F.collect_list(F.struct("term", "weight")).alias("_v")
+            entries = doc_terms(df, self.model, doc_id, text).groupBy(doc_id).agg(entry)
+            found = df.join(entries, doc_id, "left").withColumn("_v", F.coalesce("_v", F.array().cast(TERM_ENTRIES)))
+            return found.withColumns({keys: F.col("_v.term"), values: F.col("_v.weight")}).drop("_v")
         if self.sparse:
             keys, values = self.vector
             vectors = vectorize(df, self.model, text, "_v")
@@ -131,10 +139,11 @@ def match_files(
 ) -> tuple[DataFrame, DataFrame]:
     """(extracted texts with an error per failed file, matches of the good ones by path).
 
-    Extraction runs once: its result is written to the shared folder before it is matched.
+    Extraction runs once: its result is written to the shared folder before it is matched. Blank
+    texts have no matches.
     """
     extracted = settle(extract_text(files, extractors), "extracted")
-    good = extracted.filter(F.col("error").isNull())
+    good = extracted.filter(F.col("error").isNull() & (F.trim("text") != ""))
     return extracted, match(good.select(F.col("path").alias("query_id"), "text"), index, n)
 
 

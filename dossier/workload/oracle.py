@@ -162,7 +162,7 @@ def tokenized(source: str, id: str, column: str) -> str:
     """
 
 
-def tfidf(source: str, id: str, column: str) -> str:
+def tfidf(source: str, id: str, column: str, limit: str = "LIMIT 10000") -> str:
     """CTEs: doc_counts, vocabulary, weights of the documents the vocabulary was fitted on."""
     return f"""
     doc_counts AS (SELECT {id}, term, count(*) AS tf FROM ({tokenized(source, id, column)}) GROUP BY ALL),
@@ -170,7 +170,7 @@ def tfidf(source: str, id: str, column: str) -> str:
       SELECT term, tf, df, ln((1.0 + total) / (1.0 + df)) + 1.0 AS idf
       FROM (SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM doc_counts GROUP BY term),
            (SELECT count(*) AS total FROM {source})
-      WHERE df >= 5 AND df <= 0.85 * total ORDER BY tf DESC, term LIMIT 10000),
+      WHERE df >= 5 AND df <= 0.85 * total ORDER BY tf DESC, term {limit}),
     weights AS ({weighted("doc_counts", id)})
     """
 
@@ -220,23 +220,33 @@ DENSE_MATCHES = (
     )
 )
 
-def sparse_matches(queries: str, n: int = 5) -> str:
-    """CTEs up to the ``n`` best ``matches`` of the query texts against the documents."""
-    candidates = f"""SELECT query_id, r.person_id, score, rank, title, embedding_text
-    FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= {3 * n}"""
+def fitted(queries: str, limit: str = "LIMIT 10000") -> str:
+    """CTEs: corpus, cleaned query texts, vocabulary and the weights of both sides."""
     return f"""
     corpus AS (SELECT * FROM corpus_documents),
-    {tfidf("corpus", "person_id", "embedding_text")},
+    {tfidf("corpus", "person_id", "embedding_text", limit)},
     cleaned AS (SELECT query_id, {clean("text")} AS text FROM {queries}),
     query_counts AS (SELECT query_id, term, count(*) AS tf FROM ({tokenized("cleaned", "query_id", "text")}) GROUP BY ALL),
-    query_weights AS ({weighted("query_counts", "query_id")}),
+    query_weights AS ({weighted("query_counts", "query_id")})
+    """
+
+
+def candidates(n: int) -> str:
+    return f"""SELECT query_id, r.person_id, score, rank, title, embedding_text
+    FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= {3 * n}"""
+
+
+def sparse_matches(queries: str, n: int = 5, limit: str = "LIMIT 10000") -> str:
+    """CTEs up to the ``n`` best ``matches`` of the query texts against the documents."""
+    return f"""
+    {fitted(queries, limit)},
     scored AS (
       SELECT q.query_id, c.person_id, round(coalesce(s, 0), 9) AS score
       FROM cleaned q CROSS JOIN corpus c LEFT JOIN (
         SELECT query_id, person_id, sum(a.weight * b.weight) AS s
         FROM query_weights a JOIN weights b USING (term) GROUP BY ALL) USING (query_id, person_id)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored),
-    {matched(candidates, n)}
+    {matched(candidates(n), n)}
     """
 
 
@@ -459,7 +469,7 @@ def _evaluation() -> str:
       JOIN (SELECT job_id, position, unnest({WORDS}) AS word FROM mapping) b USING (word) GROUP BY ALL),
     linked AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY title ORDER BY overlap DESC, position) = 1),
     results AS MATERIALIZED (
-      SELECT query_id AS resume_id, rank, coalesce(job_id, 'job_' || ({drawn.format("lower(m.title)")} % 10000)) AS job_id
+      SELECT query_id AS resume_id, rank, coalesce(job_id, 'title_' || md5(lower(m.title))) AS job_id
       FROM matches m LEFT JOIN linked l ON lower(m.title) = l.title),
     {JUDGED}, {_GRID},
     best_one AS (SELECT threshold FROM grid ORDER BY f1 DESC, threshold LIMIT 1),
@@ -483,7 +493,7 @@ def _links() -> str:
       FROM (SELECT title, unnest({words}) AS word FROM wanted) a
       JOIN (SELECT job_id, position, unnest({words}) AS word FROM mapping) b USING (word) GROUP BY ALL),
     best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY title ORDER BY overlap DESC, position) = 1)
-    SELECT title, coalesce(job_id::VARCHAR, 'job_' || (('0x' || md5(title)[1:8])::BIGINT % 10000)) AS job_id,
+    SELECT title, coalesce(job_id::VARCHAR, 'title_' || md5(title)) AS job_id,
            coalesce(overlap, 0) AS overlap
     FROM wanted LEFT JOIN best USING (title)
     """,
@@ -504,20 +514,60 @@ OVERALL = """
                  min(similarity_percentage) AS lo FROM matches GROUP BY query_id)
 """
 
-WEIGHTED_TEXT = f"""
-    WITH {tfidf("documents", "doc_id", "text")},
-    numbered AS (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term DESC) AS n,
-             count(*) OVER (PARTITION BY doc_id) AS total FROM weights),
-    suffixes AS (
-      SELECT doc_id, string_agg(
+def weighted_text(source: str, id: str, column: str, weights: str) -> str:
+    """(id, weighted_text): texts with their heaviest terms appended."""
+    return f"""
+    SELECT {id}, {column} || coalesce(suffix, '') AS weighted_text FROM {source} LEFT JOIN (
+      SELECT {id}, string_agg(
                ' ' || repeat(term, least(5, greatest(1, floor(weight * 10 + 1e-9)))::INT), ''
                ORDER BY CASE WHEN total > 20 THEN weight ELSE 0 END, term) AS suffix
-      FROM numbered WHERE n <= 20 GROUP BY doc_id)
-    SELECT doc_id, text || coalesce(suffix, '') AS weighted_text FROM documents LEFT JOIN suffixes USING (doc_id)
+      FROM (SELECT *, row_number() OVER (PARTITION BY {id} ORDER BY weight DESC, term DESC) AS n,
+                   count(*) OVER (PARTITION BY {id}) AS total FROM {weights})
+      WHERE n <= 20 GROUP BY {id}) USING ({id})
+    """
+
+
+WEIGHTED_TEXT = f"""
+    WITH {tfidf("documents", "doc_id", "text")} {weighted_text("documents", "doc_id", "text", "weights")}
 """
 
 
+def hashed(source: str, id: str, column: str, dim: int) -> str:
+    """(id, place, value): entries of the hashed vectors, of unit length and single precision."""
+    return f"""
+    SELECT {id}, place::INT AS place, (n / sqrt(sum(n * n) OVER (PARTITION BY {id})))::FLOAT::DOUBLE AS value
+    FROM (SELECT {id}, b % {dim} AS place, sum(CASE WHEN b < {dim} THEN 1 ELSE -1 END)::DOUBLE AS n
+          FROM (SELECT {id}, ('0x' || md5(w)[1:8])::BIGINT % {2 * dim} AS b FROM (
+            SELECT {id}, unnest(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS w FROM {source}))
+          GROUP BY ALL) WHERE n <> 0
+    """
+
+
+def _dense(id: str, entries: str, source: str, dim: int) -> str:
+    """(id, v): whole vectors from their entries, divided by their length."""
+    return f"""
+    SELECT {id}, list(coalesce(value / length, 0) ORDER BY place) AS v
+    FROM (SELECT {id}, range::INT AS place FROM {source}, range({dim}))
+    LEFT JOIN (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY {id})) AS length FROM ({entries})) USING ({id}, place)
+    GROUP BY {id}
+    """
+
+
+def embedded_matches(queries: str, dim: int, n: int = 5) -> str:
+    """As ``sparse_matches``, by hashed vectors of the weighted texts."""
+    return f"""
+    {fitted(queries)},
+    corpus_texts AS MATERIALIZED ({weighted_text("corpus", "person_id", "embedding_text", "weights")}),
+    query_texts AS MATERIALIZED ({weighted_text("cleaned", "query_id", "text", "query_weights")}),
+    corpus_vectors AS MATERIALIZED ({_dense("person_id", hashed("corpus_texts", "person_id", "weighted_text", dim), "corpus", dim)}),
+    query_vectors AS MATERIALIZED ({_dense("query_id", hashed("query_texts", "query_id", "weighted_text", dim), "cleaned", dim)}),
+    scored AS (
+      SELECT query_id, person_id, round(list_inner_product(q.v, c.v), 9) AS score FROM query_vectors q, corpus_vectors c),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored),
+    {matched(candidates(n), n)}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "csv_profiles": "SELECT c_custkey AS person_id, c_name AS name, c_mktsegment AS segment FROM customer",
@@ -581,13 +631,15 @@ def oracle_sql() -> dict[str, str]:
                              SELECT doc_id, term, count(*) AS tf FROM ({tokenized("documents", "doc_id", "text")}) GROUP BY ALL) GROUP BY term""",
         "tfidf_vocabulary": f"""WITH {tfidf("documents", "doc_id", "text")}
             SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS idx, tf, df, round(idf, 6) AS idf FROM vocabulary""",
+        "tfidf_vocabulary_uncapped": f"""WITH {tfidf("documents", "doc_id", "text", "")}
+            SELECT term, tf, df, round(idf, 6) AS idf FROM vocabulary""",
         "tfidf_weights": f"""WITH {tfidf("documents", "doc_id", "text")} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights""",
         "top_terms": f"""WITH {tfidf("documents", "doc_id", "text")}
             SELECT doc_id, term, place, round(weight, 6) AS weight FROM (
               SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term DESC) AS place FROM weights)
             WHERE place <= 20""",
         "weighted_text": WEIGHTED_TEXT,
-        "embed_documents": "SELECT doc_id, 256 AS dim, CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_]{2,}') THEN 1.0 ELSE 0.0 END AS length FROM documents",
+        "embed_documents": f"SELECT doc_id, place, round(value, 6) AS value FROM ({hashed('documents', 'doc_id', 'text', 256)})",
         "vector_cosine": """SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE),
                               list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS similarity
                             FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
@@ -618,6 +670,18 @@ def oracle_sql() -> dict[str, str]:
             "corpus_documents",
             "query_documents",
         ),
+        "match_documents_uncapped": with_views(
+            f"""WITH {sparse_matches("query_documents", limit="")}
+                SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",
+            "corpus_documents",
+            "query_documents",
+        ),
+        "match_embedded": with_views(
+            f"""WITH {embedded_matches("query_documents", 256)}
+                SELECT query_id, rank, person_id, title, similarity_percentage FROM matches""",
+            "corpus_documents",
+            "query_documents",
+        ),
         "match_files": with_views(
             f"""WITH {sparse_matches("query_documents")}
                 SELECT 'turn-' || query_id || '.txt' AS query_id, rank, person_id, title, similarity_percentage FROM matches""",
@@ -649,12 +713,14 @@ def oracle_sql() -> dict[str, str]:
             *EVALUATION_VIEWS,
         ),
         "best_threshold": with_views(
-            _threshold_grid() + " SELECT threshold, round(f1, 6) AS f1 FROM grid ORDER BY f1 DESC, threshold LIMIT 1", *EVALUATION_VIEWS
+            _threshold_grid() + " SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+            " FROM grid ORDER BY f1 DESC, threshold LIMIT 1", *EVALUATION_VIEWS
         ),
         "sample_judgments": _sample(),
         "evaluate_matcher": _evaluation(),
         "link_titles": _links(),
-        "number_rows": "SELECT count(*) AS n, 0 AS lowest, count(*) - 1 AS highest, count(*) AS numbers FROM lineitem",
+        "number_rows": """SELECT k, row_number() OVER (ORDER BY ('0x' || md5(k)[1:8])::BIGINT % 4096, k) - 1 AS row_index
+                          FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)""",
     }
     for metric, name in METRIC_QUERIES.items():
         sql[name] = _one_metric(metric)

@@ -221,6 +221,12 @@ def tfidf_vocabulary(spark, d):
     return model.vocabulary.withColumn("idf", F.round("idf", 6))
 
 
+@query
+def tfidf_vocabulary_uncapped(spark, d):
+    vocabulary = tfidf.fit(_documents(spark, d), "text", max_features=None).vocabulary
+    return vocabulary.select("term", "tf", "df", F.round("idf", 6).alias("idf"))
+
+
 @query
 def tfidf_weights(spark, d):
     docs = _documents(spark, d)
@@ -245,9 +251,8 @@ def weighted_text(spark, d):
 @query
 def embed_documents(spark, d):
     vectors_of = embedding.embed(_documents(spark, d), "text", dim=256)
-    return vectors_of.select(
-        "doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm("embedding"), 4).alias("length")
-    )
+    entries = vectors_of.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0")
+    return entries.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def _vectors(spark, d, id) -> DataFrame:
@@ -325,6 +330,11 @@ def match_documents(spark, d):
     return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True))
 
 
+@query
+def match_documents_uncapped(spark, d):
+    return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True, max_features=None))
+
+
 def _turn_files(spark, d) -> DataFrame:
     return view(spark, d, "query_documents").select(
         F.concat(F.lit("turn-"), F.col("query_id").cast("string"), F.lit(".txt")).alias("path"),
@@ -444,7 +454,7 @@ def threshold_grid(spark, d):
 def best_threshold(spark, d):
     _, judgments, judged = _judged(spark, d)
     best = ranking.best_threshold(ranking.threshold_grid(judged, judgments))
-    return best.select("threshold", F.round("f1", 6).alias("f1"))
+    return best.select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query
@@ -468,16 +478,9 @@ def link_titles(spark, d):
 
 @query
 def number_rows(spark, d):
-    keyed = table(spark, d, "lineitem").select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("k")
-    )
-    numbered = numbering.number_rows(keyed, "k")
-    return numbered.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("row_index").alias("lowest"),
-        F.max("row_index").alias("highest"),
-        F.count_distinct("row_index").alias("numbers"),
-    )
+    parts = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    keyed = table(spark, d, "lineitem").select(F.concat_ws("|", *parts).alias("k"))
+    return numbering.number_rows(keyed, "k").select("k", "row_index")
 
 
 @query

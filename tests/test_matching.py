@@ -160,7 +160,7 @@ def test_evaluate_matcher(spark, index):
     assert again.threshold == done.threshold and rows(again.averages) == rows(done.averages)
     untitled = done.judgments.withColumn("ord", F.lit(0))
     fallback = evaluation.evaluate_matcher(index, untitled, threshold=1.0)
-    assert all(r["job_id"].startswith("job_") for r in fallback.results.collect())
+    assert all(r["job_id"].startswith(("job_", "title_")) for r in fallback.results.collect())
 
 
 def test_index_is_reused(spark, corpus, tmp_path):
@@ -203,3 +203,46 @@ def test_match_equals_brute_force(spark, corpus, index):
     want = collapse.collapse_titles(spark.createDataFrame(found, schema), passes=2).filter("rank <= 2")
     columns = ("query_id", "rank", "person_id", "title", "similarity_percentage")
     assert rows(matching.match(queries, index, 2), *columns) == rows(want, *columns)
+
+
+def test_error_of_the_last_extractor_counts(spark):
+    def blank(content):
+        return "  "
+
+    def broken(content):
+        raise RuntimeError("no parser")
+
+    files = spark.createDataFrame([("a.pdf", b"x"), ("b.doc", b"x"), ("c.txt", b"x")], "path string, content binary")
+    got = documents.extract_text(files, {".pdf": [blank, broken], ".doc": [broken, blank], ".txt": [blank]}).collect()
+    assert {r["path"]: (r["text"], r["error"]) for r in got} == {
+        "a.pdf": (None, "RuntimeError: no parser"),
+        "b.doc": ("", None),
+        "c.txt": ("", None),
+    }
+
+
+def test_blank_texts_are_not_matched(spark, index):
+    files = spark.createDataFrame([("a.txt", b" \n "), ("b.txt", b"java spring")], "path string, content binary")
+    extracted, matches = matching.match_files(files, index, 2)
+    assert extracted.count() == 2 and {r["query_id"] for r in matches.collect()} == {"b.txt"}
+
+
+@pytest.mark.parametrize("form", [{"max_features": None}, {"broadcast_terms": 1}])
+def test_sparse_matching_with_a_joined_vocabulary(spark, corpus, form):
+    texts = [("a", "java spring pipelines"), ("b", "customers figma calls"), ("c", "nothing shared"), ("d", None)]
+    queries = spark.createDataFrame(texts, "query_id string, text string")
+    small = matching.build_index(corpus, sparse=True, min_df=1)
+    large = matching.build_index(corpus, sparse=True, min_df=1, **form)
+    assert small.model.is_small and not large.model.is_small
+    assert rows(matching.match(queries, large)) == rows(matching.match(queries, small))
+
+
+def test_jobs_at_equal_positions_link_once(spark):
+    from dossier.operators.linking import link_by_token_overlap
+
+    jobs = spark.createDataFrame([("j1", "Data Engineer", 0), ("j2", "Sales Rep", 0)], "job_id string, job_title string, ord long")
+    titles = spark.createDataFrame([("Data Engineer",), ("sales",), ("pilot",), (None,)], "title string")
+    got = {r["title"]: (r["job_id"], r["overlap"]) for r in link_by_token_overlap(titles, jobs).collect()}
+    assert got["data engineer"] == ("j1", 2) and got["sales"] == ("j2", 1)
+    assert got["pilot"] == ("title_" + md5(b"pilot").hexdigest(), 0)
+    assert len(got) == link_by_token_overlap(titles, jobs).count() == 4
