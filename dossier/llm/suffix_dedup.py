@@ -190,8 +190,14 @@ def covered(documents: DataFrame) -> DataFrame:
         size, last = 0, None
 
         def solve() -> pa.RecordBatch:
-            hits = shared_windows([r[4] for r in held], [r[1] for r in held])
-            rows = [(held[k][1], held[k][2], held[k][3] + at, held[k][3] + at + SPAN) for k, at in hits]
+            hits = sorted(shared_windows([r[4] for r in held], [r[1] for r in held]))
+            runs: list[list[int]] = []  # (context, start, end): windows that overlap, merged
+            for k, at in hits:
+                if runs and runs[-1][0] == k and at <= runs[-1][2]:
+                    runs[-1][2] = at + SPAN
+                else:
+                    runs.append([k, at, at + SPAN])
+            rows = [(held[k][1], held[k][2], held[k][3] + a, held[k][3] + b) for k, a, b in runs]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "row", "start", "end"])
 

@@ -145,3 +145,22 @@ def test_nearest(spark):
         hit += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
     assert hit >= 90 and len(found) == 100
     assert nn_descent.nearest(rows.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_suffix_dedup_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    first, want = {}, {}
+    for i, raw in texts:
+        for a in range(len(raw) - 49):
+            first.setdefault(raw[a : a + 50], i)
+    for i, raw in texts:
+        gone = np.zeros(len(raw) + 1, bool)
+        for a in range(len(raw) - 49):
+            if first[raw[a : a + 50]] < i:
+                gone[a : a + 50] = True
+        kept = np.frombuffer(raw, np.uint8)[~gone[:-1]].tobytes()
+        spans = int((gone[:-1] & ~np.r_[False, gone[:-2]]).sum()) if raw else 0
+        want[i] = (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
+    assert found == want
