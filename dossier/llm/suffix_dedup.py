@@ -28,7 +28,7 @@ from .words import mix, slices, utf8
 
 SPAN = 50
 GRAM = 20  # 50 - 20 + 1 = 31 windows of an anchor at most
-TEXT = 100_000  # bytes of contexts per suffix array, unless one anchor has more
+TEXT = 10_000  # bytes of contexts per suffix array, unless one anchor has more
 _C = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
