@@ -25,7 +25,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may:
     """``node`` and ``label`` of every item linked with another one; ``postings`` has distinct rows of a written table.
 
     ``postings``: (key, item, size, most, head), ``most`` being the largest part of the item that
-    another one can share; a key joins two items only if it is a ``head`` key of the smaller one.
+    another one of at most its size can share; a key joins two items only if it is a ``head`` key of the smaller one.
     ``may(x, y)``: whether the items whose columns start with ``x`` and ``y`` can be linked at all;
     ``verify``: the linked ones among distinct pairs (a, b).
     """

@@ -214,15 +214,14 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
     near = rare.filter("lo < hi").drop("lo", "hi").unionByName(first.filter("frequent").drop("frequent"))
     near = near.repartition("item").groupBy("item", "key").agg(F.max("head").alias("head"))
 
-    # What a class kept of its prefix bounds its overlap with any other: the rest is its own. Of two
-    # linked classes at least one (the core) can share as much as its own size asks for, so keys
-    # without such a class lead nowhere.
+    # What two linked classes share lies in the prefixes of both, which ``kept`` counts on either
+    # side, or behind the prefix that ends first. That may be the prefix of either class, so what is
+    # behind it is bounded by the larger class, never by the smaller one.
     sizes = rows.filter("class is not null").select(F.col("class").alias("item"), F.col("n").alias("size")).distinct()
     kept = F.count(F.lit(1)).over(Window.partitionBy("item"))
-    most = F.expr(f"least(size, kept - 1 + ceil({percent} * size / 100))").cast("long")
-    near = settle(near.withColumn("kept", kept).join(sizes, "item").withColumn("most", most).drop("kept"), "near")
-    core = near.filter(f"({100 + percent}) * most >= {2 * percent} * size").select("key").distinct()
-    postings = settle(near.join(core, "key", "left_semi"), "postings")
+    most = F.expr(f"kept - 1 + ceil({percent} * size / 100)").cast("long")
+    near = near.withColumn("kept", kept).join(sizes, "item").withColumn("most", most).drop("kept")
+    postings = settle(near, "postings")
     wanted = settle(postings.select(F.col("item").alias("class"), F.col("size").alias("n")).distinct(), "wanted")
     sets = segments(named, order, width).join(wanted, "class", "left_semi").dropDuplicates(["class", "fragment"])
     sets = settle(sets, "sets")
@@ -233,10 +232,10 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
         return counted.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
     def may(x: str, y: str) -> Column:
-        size = F.col(f"{x}size") + F.col(f"{y}size")
-        return (100 * F.least(f"{x}size", f"{y}size") >= percent * F.greatest(f"{x}size", f"{y}size")) & (
-            (100 + percent) * F.least(f"{x}most", f"{y}most") >= percent * size
-        )
+        small, large = F.least(f"{x}size", f"{y}size"), F.greatest(f"{x}size", f"{y}size")
+        behind = lambda size: F.ceil(percent * size / 100)
+        kept = F.least(*(F.col(f"{s}most") - behind(F.col(f"{s}size")) for s in (x, y)))
+        return (100 * small >= percent * large) & ((100 + percent) * (kept + behind(large)) >= percent * (small + large))
 
     labels = linking.connect(postings, verify, may)
 

@@ -164,3 +164,38 @@ def test_suffix_dedup_against_brute_force(spark):
         want[i] = (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
     assert found == want
+
+
+def components(sets, percent=75):
+    """The smallest id reachable over pairs of sets at the threshold, by comparing all pairs."""
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(i for i, s in sets.items() if s)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {i: root(i) for i in sets}
+
+
+def grams(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_ngram_join_finds_extended_documents(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        words = [f"v{i}_{j}" for j in range(104)]
+        more = int(rng.integers(10, 34))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"more{i}_{j}" for j in range(more)]))]
+    want = components({i: grams(t) for i, t in rows})
+    found = ngram_join.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
