@@ -4,7 +4,8 @@ Every window of ``SPAN`` bytes belongs to an anchor, its least q-gram by hash; e
 equal anchors, so only windows of one anchor have to meet. The windows of an occurrence of an anchor
 form one short context. Where contexts are equal, all but those of the smallest id are covered
 whole. Contexts that differ but share their anchor go into a suffix array, and neighbours in it that
-share ``SPAN`` bytes give the covered windows.
+share ``SPAN`` bytes give the covered windows. Anchors with many occurrences, as boilerplate next to
+ever different text has, are told apart by context and then by the bytes of each window instead.
 
 * Texts are UTF-8 bytes; null counts as empty. Null ids take no part and lose nothing.
 * Rows that repeat an id are one document as to who is earlier; each row is judged on its own.
@@ -29,6 +30,7 @@ from .words import mix, slices, utf8
 SPAN = 50
 GRAM = 20  # 50 - 20 + 1 = 31 windows of an anchor at most
 TEXT = 10_000  # bytes of contexts per suffix array, unless one anchor has more
+MANY = 2_000  # occurrences of an anchor that meet in one task at most: shapes the work, never the result
 _C = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -147,21 +149,19 @@ def shared_windows(contexts: list[bytes], ids: list[int], span: int = SPAN) -> l
     return out
 
 
-def covered(documents: DataFrame) -> DataFrame:
+def covered(documents: DataFrame, many: int = MANY) -> DataFrame:
     """(id, row, start, end): byte spans that leave, not merged; ``documents``: (id, text)."""
     found = occurrences(documents)
-    alike, same = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
-    found = found.repartition("anchor").withColumns({"least": F.min("id").over(alike)})
+    crowded = settle(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > many).select("anchor"), "crowded")
+    found = found.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    found = found.withColumn("part", F.when(F.col("crowded"), F.col("context")).otherwise(F.lit(0)))
+    alike, same = Window.partitionBy("anchor", "part", "context"), Window.partitionBy("anchor", "part")
+    found = found.repartition("anchor", "part").withColumns({"least": F.min("id").over(alike)})
     found = found.withColumns({"lo": F.min("context").over(same), "hi": F.max("context").over(same), "first": F.min("id").over(same)})
-    found = found.filter("id > least or lo < hi")
-    found = settle(found.withColumn("whole", F.col("id") > F.col("least")).drop("lo", "hi", "least", "context"), "occurrences")
+    found = found.filter("crowded or id > least or lo < hi")
+    found = settle(found.withColumn("whole", F.col("id") > F.col("least")).drop("lo", "hi", "least", "context", "part"), "occurrences")
     whole = found.filter("whole").select("id", "row", F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("end"))
 
-    # Texts that hold a context which differs from others of its anchor hand out its bytes.
-    parts = found.filter("not whole").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "place", "length")).alias("parts"))
-
-    joined = documents.join(parts, "id").select("id", "row", "text", "parts")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
@@ -182,8 +182,20 @@ def covered(documents: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "id", "row", "place", "bytes"])
 
-    contexts = joined.mapInArrow(cut, "anchor long, id long, row long, place long, bytes binary")
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
+    def contexts(some: DataFrame) -> DataFrame:
+        # Texts that hold a context which differs from others of its anchor hand out its bytes.
+        parts = some.groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "place", "length")).alias("parts"))
+        joined = documents.join(parts, "id").select("id", "row", "text", "parts")
+        return joined.mapInArrow(cut, "anchor long, id long, row long, place long, bytes binary")
+
+    # Equal windows have equal anchors, so the bytes of a window are key enough.
+    at = F.explode(F.sequence(F.lit(0), F.length("bytes") - SPAN)).alias("at")
+    windows = contexts(found.filter("not whole and crowded")).select("id", "row", "place", "bytes", at)
+    windows = windows.select("id", "row", (F.col("place") + F.col("at")).alias("start"), F.expr(f"substring(bytes, at + 1, {SPAN})").alias("window"))
+    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    again = windows.join(least, "window").filter("id > least").select("id", "row", "start", (F.col("start") + SPAN).alias("end"))
+
+    dealt = contexts(found.filter("not whole and not crowded")).repartition("anchor").sortWithinPartitions("anchor")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -213,7 +225,7 @@ def covered(documents: DataFrame) -> DataFrame:
         if held:
             yield solve()
 
-    return whole.unionByName(dealt.mapInArrow(match, "id long, row long, start long, end long"))
+    return whole.unionByName(again).unionByName(dealt.mapInArrow(match, "id long, row long, start long, end long"))
 
 
 def dedup(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

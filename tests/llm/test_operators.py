@@ -199,3 +199,20 @@ def test_ngram_join_finds_extended_documents(spark):
     want = components({i: grams(t) for i, t in rows})
     found = ngram_join.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_suffix_dedup_of_a_passage_amid_different_text(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = text(120)
+    rows = [(i, text(90) + passage + text(90)) for i in range(300)] + [(300, text(90) + passage[:60] + text(90))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    lost = {}
+    for r in suffix_dedup.covered(docs, many=50).collect():
+        lost.setdefault(r.id, set()).update(range(r.start, r.end))
+    first, want = {}, {}
+    for i, t in rows:
+        for a in range(len(t) - 49):
+            if first.setdefault(t[a : a + 50], i) < i:
+                want.setdefault(i, set()).update(range(a, a + 50))
+    assert lost == want and set(want) == set(range(1, 301))
