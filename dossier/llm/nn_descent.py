@@ -8,7 +8,8 @@ has found and not yet expanded.
 * Vectors that are null, zero, of another length than most, or hold null or non-finite components
   take no part. Of rows with equal ids the least vector counts; null ids take no part.
 * For the graph, vectors get one more component that makes their lengths equal, so that inner
-  products order neighbours as distances do. Scores are inner products of the vectors as given, in
+  products order neighbours as distances do. It is kept apart, as what it lacks to the largest
+  length, so that vectors far shorter than the longest keep their own scale. Scores are inner products of the vectors as given, in
   double precision.
 * Equal scores are ordered by id. Cells and lists have a bounded size, whatever the data.
 """
@@ -47,16 +48,19 @@ def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
     return kept.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _packed(v: np.ndarray) -> list[bytes]:
-    """Vectors as a scale and 8-bit components: near enough for the graph and the walk."""
+def _packed(v: np.ndarray, lack: np.ndarray) -> list[bytes]:
+    """Vectors as a scale, ``lack`` and 8-bit components: near enough for the graph and the walk."""
     scale = np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-300) / 127
     small = np.rint(v / scale).astype(np.int8)
-    return [s.tobytes() + row.tobytes() for s, row in zip(scale.astype("<f4"), small, strict=True)]
+    head = np.c_[scale, lack].astype("<f4")
+    return [s.tobytes() + row.tobytes() for s, row in zip(head, small, strict=True)]
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
+def _unpacked(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors without the graph's own component, and what that lacks to the largest length."""
     rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
-    return rows[:, 4:].view(np.int8).astype(np.float32) * rows[:, :4].copy().view("<f4")
+    head = rows[:, :8].copy().view("<f4")
+    return rows[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
 
 
 def prepare(rows: DataFrame) -> DataFrame:
@@ -70,8 +74,9 @@ def prepare(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def lifted(v: pd.Series) -> pd.Series:
         m = np.stack(v.to_list()) if len(v) else np.zeros((0, 1))
-        last = np.sqrt(np.maximum(0, most - (m * m).sum(axis=1)))
-        return pd.Series(_packed(np.c_[m, last] / math.sqrt(most)))
+        m = m / math.sqrt(most)
+        square = (m * m).sum(axis=1)
+        return pd.Series(_packed(m, square / (1 + np.sqrt(np.maximum(0, 1 - square)))))  # 1 - sqrt(1 - square)
 
     return rows.withColumn("x", lifted("v"))
 
@@ -82,7 +87,7 @@ def as_queries(nodes: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def flat(v: pd.Series) -> pd.Series:
         m = np.stack(v.to_list()) if len(v) else np.zeros((0, 1))
-        return pd.Series(_packed(np.c_[m, np.zeros(len(m))]))
+        return pd.Series(_packed(m, np.zeros(len(m))))
 
     return nodes.select(F.col("id").alias("query_id"), F.col("v").alias("q"), flat("v").alias("qx"))
 
@@ -105,7 +110,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _unpacked(b"".join(column.to_pylist()), len(column))
 
 
@@ -120,9 +125,10 @@ def _local(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
 
     for group in _groups(batches, 0):
         ids = group.column(1).to_numpy()
-        x = _matrix(group.column(2))
+        x, lack = _matrix(group.column(2))
         least = group.column(3).to_numpy(zero_copy_only=False)
-        score = (x @ x.T).astype(np.float32)
+        # The product of the lengthened vectors, less 1: (1 - a)(1 - b) - 1 is the part of the added components.
+        score = (x @ x.T - lack[:, None] - lack + np.outer(lack, lack)).astype(np.float32)
         score[ids[:, None] == ids[None, :]] = -np.inf
         k = min(top, len(ids) - 1)
         if k < 1:
@@ -153,7 +159,7 @@ def _start(nodes: DataFrame, n: int, neighbours: int, trees: int, seed: int) ->
 
     @F.pandas_udf("array<long>")
     def cells(x: pd.Series) -> pd.Series:
-        m = _unpacked(b"".join(x), len(x)) if len(x) else np.zeros((0, 1))
+        m = _unpacked(b"".join(x), len(x))[0] if len(x) else np.zeros((0, 1))
         rng = np.random.default_rng(seed)
         codes = []
         for _ in range(trees):
@@ -210,17 +216,20 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, steps
     members = _both_ways(graph, neighbours // 2).join(nodes.select(F.col("id").alias("member"), "x"), "member")
     lists = members.groupBy("key").agg(F.collect_list("member").alias("near"), F.collect_list("x").alias("xs"))
     lists = settle(lists, "lists")
-    pivots = nodes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("id", "x").collect()
+    # The longest vectors are near no other one, but have the largest products with half of the queries.
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    by_hash = nodes.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("id", "x")
+    pivots = by_hash.union(nodes.orderBy(F.desc(length), "id").limit(PIVOTS).select("id", "x")).distinct().orderBy("id").collect()
     if not pivots:
         return queries.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    ids, table = np.array([p["id"] for p in pivots]), _unpacked(b"".join(bytes(p["x"]) for p in pivots), len(pivots))
+    ids, table = np.array([p["id"] for p in pivots]), _unpacked(b"".join(bytes(p["x"]) for p in pivots), len(pivots))[0]
 
     @F.pandas_udf(FOUND)
     def enter(q: pd.Series, own: pd.Series) -> pd.Series:
-        score = _unpacked(b"".join(q), len(q)) @ table.T
+        score = _unpacked(b"".join(q), len(q))[0] @ table.T
         out = []
         for row, me in zip(score, own, strict=True):
-            best = [i for i in np.argsort(-row)[:9] if ids[i] != me][:8]
+            best = [i for i in np.argsort(-row) if ids[i] != me]
             out.append([{"id": int(ids[i]), "score": float(row[i])} for i in best])
         return pd.Series(out)
 
@@ -228,7 +237,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int, steps
     def step(q: pd.Series, own: pd.Series, near: pd.Series, xs: pd.Series, least: pd.Series) -> pd.Series:
         out = []
         for a, me, others, x, low in zip(q, own, near, xs, least, strict=True):
-            score = _unpacked(b"".join(x), len(x)) @ _unpacked(a, 1)[0]
+            score = _unpacked(b"".join(x), len(x))[0] @ _unpacked(a, 1)[0][0]
             good = np.flatnonzero((score > low) & (others != me))
             out.append([{"id": int(others[i]), "score": float(score[i])} for i in good])
         return pd.Series(out)

@@ -216,3 +216,20 @@ def test_suffix_dedup_of_a_passage_amid_different_text(spark):
             if first.setdefault(t[a : a + 50], i) < i:
                 want.setdefault(i, set()).update(range(a, a + 50))
     assert lost == want and set(want) == set(range(1, 301))
+
+
+def test_nearest_with_a_few_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[7, 1234, 2001]] *= [[80], [300], [100]]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nn_descent.nearest(rows, F.col("id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 3000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20].tolist()) & found[q])
+    assert hit >= 0.9 * 20 * 150
