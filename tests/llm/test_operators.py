@@ -233,3 +233,19 @@ def test_nearest_with_a_few_long_vectors(spark):
         score[q] = -np.inf
         hit += len(set(np.argsort(-score)[:20].tolist()) & found[q])
     assert hit >= 0.9 * 20 * 150
+
+
+def test_paragraph_dedup_of_passages_across_lines(spark):
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"o{x}" for x in rng.integers(0, 1 << 40, n)]
+    verse, passage = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(55)]
+    short = "\n".join(" ".join(verse[i : i + 5]) for i in range(0, 60, 5))
+    rows = [(i, " ".join(own(9)) + "\n" + short + "\n" + " ".join(own(9))) for i in (1, 2, 3)]
+    for i, at in ((4, 20), (5, 35), (6, 28)):
+        rows.append((i, " ".join(own(12) + passage[:at]) + "\n" + " ".join(passage[at:] + own(12))))
+    left = {r.doc_id: r.text.split() for r in paragraph_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {i: t.split() for i, t in rows}
+    assert left[1] == words[1] and left[4] == words[4]
+    for i in (2, 3, 5, 6):
+        gone = [w for w in words[i] if w not in set(left[i])]
+        assert len(gone) >= 25 and not any(w.startswith("o") for w in gone)
