@@ -105,6 +105,11 @@ def test_counts_use_up_the_quotas_and_permutations_are_bijections():
         assert sorted(out.tolist()) == list(range(n))
 
 
+def test_tuning_uses_all_hashes():
+    bands, rows = paragraph_dedup.tune()
+    assert bands * rows == paragraph_dedup.HASHES and (1 - 0.75**rows) ** bands < 1e-4
+
+
 def test_tuning_and_cuts():
     bands, rows = paragraph_dedup.tune()
     assert 1 - (1 - 0.75**rows) ** bands >= 0.98
