@@ -85,7 +85,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _AT = re.compile(r" ?(?:\(at\)|\[at\]|@) ?| at ", re.I)
 _DOTTED = re.compile(r"[A-Za-z0-9-]{2,40}(?:(?: ?(?:\(dot\)|\[dot\]|\.) ?| dot )[A-Za-z0-9-]{2,20}){1,4}", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+(-])\+?\(?[0-9][0-9 ().-]{5,28}[0-9](?![0-9A-Za-z])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+")
 _WORD_BEFORE = re.compile(r"([A-Za-z]{2,20})\W{0,6}$")
 _GROUP = re.compile(r"[0-9]+")
 _HINTS = {
@@ -300,8 +300,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], names=["x", "y"])
 
 
-def train(documents: DataFrame | None = None, id: str = "doc_id", text: str = "text", max_texts: int = MAX_TEXTS, precision: float = PRECISION) -> Model:
-    """Fit on made examples and on candidates of at most ``max_texts`` texts, and calibrate on a third held out."""
+def train(documents: DataFrame | None = None, id: str = "doc_id", text: str = "text", max_texts: int = MAX_TEXTS, precision: float = PRECISION, max_found: int | None = None) -> Model:
+    """Fit on made examples and on at most ``max_found`` candidates of at most ``max_texts`` texts, and calibrate on a third held out.
+
+    ``max_found`` is the number of made examples if not given, so that these are at least half.
+    """
     made = made_examples()
     x = [describe(t, k, a, b) for t, k, a, b, _ in made]
     y = [float(label) for *_, label in made]
@@ -310,8 +313,7 @@ def train(documents: DataFrame | None = None, id: str = "doc_id", text: str = "t
         told = documents.filter(F.col(text).rlike("[0-9]"))
         chosen = told.select(id).orderBy(F.xxhash64(id), id).limit(max_texts).distinct()
         sample = told.select(id, F.col(text).alias("t")).join(F.broadcast(chosen), id)
-        # No more examples from the corpus than made ones.
-        found = sample.mapInArrow(_confirmed, "x array<double>, y double").orderBy(F.xxhash64("x"), "x", "y").limit(len(made))
+        found = sample.mapInArrow(_confirmed, "x array<double>, y double").orderBy(F.xxhash64("x"), "x", "y").limit(len(made) if max_found is None else max_found)
         for row in found.collect():
             x.append(row["x"])
             y.append(row["y"])

@@ -121,3 +121,10 @@ def test_tuning_and_cuts():
         at = np.flatnonzero(paragraph_dedup.cuts(line, np.zeros(len(line), int)))
         found.append({int(a) - 40 for a in at if 45 <= a < 95})
     assert found[0] == found[1] and len(found[0]) >= 2
+
+
+def test_long_secrets_are_candidates():
+    token = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-", k=700))
+    text = f"api_key = {token} end"
+    assert ("secret", 10, 710) in pii.candidates(text)
+    assert ("secret", 10, 210) not in pii.candidates(text) and pii.candidates("a" * 19) == []
