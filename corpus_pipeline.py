@@ -49,7 +49,7 @@ STAGES = [
     ("pack_tokens", pack),
 ]
 
-# The classifier, the boosted trees and the tokenizer have no SQL; tests compare with brute force.
+# The classifier, the boosted trees and the tokenizer have no SQL; tests run the operators on small tables (see README).
 ORACLE_SQL = None
 
 
