@@ -3,7 +3,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(HERE)
+sys.path[:0] = [ROOT, HERE]
+# Python workers import the package as well.
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +28,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-def rows(df, *columns):
-    df = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@ from hashlib import md5
 import zipfile
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from dossier.operators import collapse

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 
 from dossier.operators import linking
 from dossier.operators.similarity import top_k

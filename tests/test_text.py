@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from dossier.functions import terms, text, titles, vectors
 
