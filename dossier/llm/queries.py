@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, nn_descent, ordinal, packing, paragraph_dedup, pii, rules, suffix_dedup
+from . import block_names, chat, mixing, ngram_join, nn_descent, ordinal, packing, paragraph_dedup, pii, rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,8 @@ def op10_paragraph_dedup(spark, d):
         F.aggregate(found, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform(found, one), ",").alias("spans"),
     )
+
+
+@query
+def op13_exact_dedup(spark, d):
+    return block_names.groups(table(spark, d, "documents"))
