@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_names, chat, mixing, ngram_join, nn_descent, ordinal, packing, paragraph_dedup, pii, rules, suffix_dedup
+from . import block_names, chat, mixing, ngram_join, nn_descent, ordinal, packing, paragraph_dedup, pii, resampling, rules, spelling, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +113,16 @@ def op10_paragraph_dedup(spark, d):
     )
 
 
+@query
+def op11_spelling_variants(spark, d):
+    return spelling.variants(spelling.counts(table(spark, d, "documents")))
+
+
+@query
+def op12_importance_resampling(spark, d):
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op13_exact_dedup(spark, d):
     return block_names.groups(table(spark, d, "documents"))
