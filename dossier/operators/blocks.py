@@ -20,12 +20,30 @@ SCORE_DIGITS = 9
 WIDE_KEYS = 512
 WIDE_SHARE = 1 / 64
 
+# Dense blocks of fewer rows are not clustered; bounds are compared with some room for rounding.
+CLUSTERED_ROWS = 256
+ROOM = 1e-8
+
 
 def make_block(table: pa.Table, normalize: bool) -> dict:
-    """Columns ``id, vector`` (dense) or ``id, keys, values`` (sparse) of an Arrow table."""
+    """Columns ``id, vector`` (dense) or ``id, keys, values`` (sparse) of an Arrow table, and ``group`` if there is one."""
     vectors = table.column("vector" if "vector" in table.column_names else "keys")
     if vectors.null_count:
         table = table.filter(pc.is_valid(vectors))
+    return {**_vectors(table, normalize), **_groups(table)}
+
+
+def _groups(table: pa.Table) -> dict:
+    """Group of every row, and an order of the rows by group and then id."""
+    if "group" not in table.column_names:
+        return {}
+    values = table.column("group").to_pandas().astype(object).to_numpy()
+    codes, _ = pd.factorize(values, use_na_sentinel=False)
+    by_id = np.argsort(table.column("id").to_pandas().to_numpy(), kind="stable")
+    return {"groups": values, "codes": codes, "order": by_id[np.argsort(codes[by_id], kind="stable")]}
+
+
+def _vectors(table: pa.Table, normalize: bool) -> dict:
     n = table.num_rows
     ids = table.column("id").to_pandas().to_numpy()
     if "vector" in table.column_names:
@@ -67,8 +85,7 @@ def index_block(block: dict) -> dict:
     order = np.argsort(codes[rare], kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(codes[rare], minlength=len(index)))]).astype(np.int64)
     return {
-        "ids": block["ids"],
-        "n": n,
+        **{c: block[c] for c in ("ids", "n", "groups", "codes", "order") if c in block},
         "index": index,
         "place": place,
         "wide": matrix,
@@ -125,32 +142,151 @@ def candidates(scores: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray,
     return r, c, scores[r, c]
 
 
-def k_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows per query: score descending, then corpus id."""
+def group_candidates(
+    scores: np.ndarray, k: int, positive: bool, codes: np.ndarray, order: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``candidates``, for the best column of every group: the k best groups of each row, ties included.
+
+    ``order`` sorts the columns by group and then by id, so the first best column of a group counts.
+    """
+    if not scores.shape[1]:
+        return candidates(scores, k, positive)
+    sorted_codes = codes[order]
+    first = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
+    size = np.diff(np.r_[first, len(order)])
+    by_group = scores[:, order]
+    r, g, score = candidates(np.maximum.reduceat(by_group, first, axis=1), k, positive)
+    # All columns of the chosen groups, then the first of each that has the group's score.
+    n = size[g]
+    left = np.cumsum(n) - n
+    pair = np.repeat(np.arange(len(g)), n)
+    at = first[g][pair] + np.arange(len(pair)) - left[pair]
+    hit = np.flatnonzero(by_group[r[pair], at] == score[pair])
+    best = hit[np.r_[True, pair[hit][1:] != pair[hit][:-1]]] if len(hit) else hit
+    return r, order[at[best]], score
+
+
+def k_best(found: pd.DataFrame, k: int, distinct: bool = False) -> pd.DataFrame:
+    """The k best rows per query: score descending, then corpus id; ``distinct`` keeps one per group."""
     ordered = found.sort_values(["query", "score", "id"], ascending=[True, False, True], kind="stable")
+    if distinct:
+        ordered = ordered.drop_duplicates(["query", "group"])
     return ordered[ordered.groupby("query", sort=False).cumcount() < k]
 
 
-def best_for_held(blocks: Iterator[dict], held: dict, k: int, positive: bool) -> pd.DataFrame:
+def found_rows(scores: np.ndarray, block: dict, start: int, k: int, positive: bool, distinct: bool) -> pd.DataFrame:
+    """Candidates among the scores (rows: queries) of the columns from ``start`` on of a block."""
+    if distinct:
+        inside = block["order"]
+        if scores.shape[1] < block["n"]:
+            inside = inside[(inside >= start) & (inside < start + scores.shape[1])] - start
+        codes = block["codes"][start : start + scores.shape[1]]
+        q, c, s = group_candidates(scores, k, positive, codes, inside)
+    else:
+        q, c, s = candidates(scores, k, positive)
+    columns = {"query": q, "id": block["ids"][start + c], "score": s}
+    if "groups" in block:
+        columns["group"] = block["groups"][start + c]
+    return pd.DataFrame(columns)
+
+
+def no_rows(grouped: bool = False) -> pd.DataFrame:
+    columns = ["query", "id", "score"] + (["group"] if grouped else [])
+    return pd.DataFrame({c: [] for c in columns})
+
+
+def cluster(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a block in clusters around evenly chosen rows: (order, first of each, centres, radii)."""
+    n = len(matrix)
+    pivots = matrix[:: max(1, int(np.sqrt(n)))]
+    nearest = np.argmax(matrix @ pivots.T - (pivots * pivots).sum(axis=1) / 2, axis=1)
+    order = np.argsort(nearest, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(nearest[order]) != 0])
+    size = np.diff(np.r_[first, n])
+    centres = np.add.reduceat(matrix[order], first, axis=0) / size[:, None]
+    away = matrix[order] - np.repeat(centres, size, axis=0)
+    return order, first, centres, np.sqrt(np.maximum.reduceat((away * away).sum(axis=1), first))
+
+
+def floors(best: pd.DataFrame | None, n: int, k: int) -> np.ndarray:
+    """Score of the k-th best row of every query so far."""
+    out = np.full(n, -np.inf)
+    if best is not None and len(best):
+        last = best.groupby("query", sort=False)["score"].agg(["size", "min"])
+        full = last[last["size"] >= k]
+        out[full.index.to_numpy(dtype=np.int64)] = full["min"].to_numpy()
+    return out
+
+
+def near_clusters(block: dict, held: dict, floor: np.ndarray, positive: bool) -> tuple[pd.DataFrame, int] | None:
+    """Rows of a dense block that can still enter the lists of held queries, and the pairs compared.
+
+    Nothing if most clusters are near most queries, where the whole block is compared faster. By
+    Cauchy-Schwarz no row of a cluster scores above that of its centre plus radius times the length of the query.
+    """
+    queries, rows = held["matrix"], block["matrix"]
+    if len(rows) < CLUSTERED_ROWS or not np.isfinite(floor).any():
+        return None
+    order, first, centres, radii = cluster(rows)
+    bound = queries @ centres.T + np.sqrt((queries * queries).sum(axis=1))[:, None] * radii
+    active = bound >= floor[:, None] - ROOM
+    size = np.diff(np.r_[first, len(rows)])
+    pairs = int(active.sum(axis=0) @ size)
+    if 2 * pairs > len(queries) * len(rows):
+        return None
+    found = []
+    for j in np.flatnonzero(active.any(axis=0)):
+        q, own = np.flatnonzero(active[:, j]), order[first[j] : first[j] + size[j]]
+        for start in range(0, len(q), max(1, CELLS // len(own))):
+            part = q[start : start + max(1, CELLS // len(own))]
+            scores = np.round(queries[part] @ rows[own].T, SCORE_DIGITS)
+            keep = scores >= floor[part][:, None]
+            if positive:
+                keep &= scores > 0
+            r, c = np.nonzero(keep)
+            columns = {"query": part[r], "id": block["ids"][own[c]], "score": scores[r, c]}
+            if "groups" in block:
+                columns["group"] = block["groups"][own[c]]
+            found.append(pd.DataFrame(columns))
+    return (pd.concat(found) if found else no_rows(grouped="groups" in block)), pairs
+
+
+def best_for_held(
+    blocks: Iterator[dict],
+    held: dict,
+    k: int,
+    positive: bool,
+    distinct: bool = False,
+    grouped: bool = False,
+    compared=None,
+) -> pd.DataFrame:
     """Queries are held, corpus blocks stream by; a running best list per query."""
     held = index_block(held)
-    best = None
+    best, pairs = None, 0
     for block in blocks:
+        near = near_clusters(block, held, floors(best, held["n"], k), positive) if best is not None and "matrix" in held else None
+        if near is not None:
+            best, pairs = k_best(pd.concat([best, near[0]]), k, distinct), pairs + near[1]
+            continue
+        pairs += block["n"] * held["n"]
         for start, scores in score_chunks(block, held):
-            q, c, s = candidates(scores.T, k, positive)
-            found = pd.DataFrame({"query": q, "id": block["ids"][start + c], "score": s})
-            best = k_best(found if best is None else pd.concat([best, found]), k)
+            found = found_rows(scores.T, block, start, k, positive, distinct)
+            best = k_best(found if best is None else pd.concat([best, found]), k, distinct)
+    if compared is not None:
+        compared.add(pairs)
     if best is None:
-        return pd.DataFrame({"query": [], "id": [], "score": []})
-    return best.assign(query=held["ids"][best["query"].to_numpy()])
+        return no_rows(grouped=grouped)
+    return best.assign(query=held["ids"][best["query"].to_numpy(dtype=np.int64)])
 
 
-def best_for_streamed(block: dict, held: dict, k: int, positive: bool) -> pd.DataFrame:
+def best_for_streamed(
+    block: dict, held: dict, k: int, positive: bool, distinct: bool = False, compared=None
+) -> pd.DataFrame:
     """The corpus is held (and indexed), a block of queries streams by."""
+    if compared is not None:
+        compared.add(block["n"] * held["n"])
     parts = []
     for start, scores in score_chunks(block, held):
-        q, c, s = candidates(scores, k, positive)
-        found = pd.DataFrame({"query": q, "id": held["ids"][c], "score": s})
-        found = k_best(found, k)
-        parts.append(found.assign(query=block["ids"][start + found["query"].to_numpy()]))
-    return pd.concat(parts) if parts else pd.DataFrame({"query": [], "id": [], "score": []})
+        found = k_best(found_rows(scores, held, 0, k, positive, distinct), k, distinct)
+        parts.append(found.assign(query=block["ids"][start + found["query"].to_numpy(dtype=np.int64)]))
+    return pd.concat(parts) if parts else no_rows(grouped="groups" in held)

@@ -1,34 +1,46 @@
 """Exact top-k by cosine (or dot product) between two sets of vectors.
 
-Scores are never rows: blocks of both sides meet inside tasks and only the k best leave them.
+Scores are never rows: blocks of both sides meet inside tasks and only the k best leave them. With a
+group, only the best row of each group counts, so k different groups come back wherever k exist.
 
 * queries small (checked): they are broadcast, the corpus streams past without a shuffle, every task
   emits at most k rows per query and a window merges them;
 * corpus small (checked): it is broadcast, the queries stream past and are final at once;
-* neither: both sides are cut by hash into tiles of bounded size that meet pairwise in a cogroup.
+* neither: the smaller side is cut by hash into slabs of bounded size that are sent one after
+  another. The larger side streams past each of them and is never shuffled; the k best per slab are
+  written before the next slab is sent.
+
+Dense rows that stream past held queries are clustered inside their block. Centre and radius bound
+every score of a cluster, so a cluster below a query's k-th score so far is not compared with it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.stages import shared_dir
 from .blocks import best_for_held, best_for_streamed, index_block, make_block
 
 HELD_BYTES = 64 << 20
 TILE_BYTES = 64 << 20
 
 
-def _side(df: DataFrame, id: str, vector: str | tuple[str, str]) -> DataFrame:
+def _side(df: DataFrame, id: str, vector: str | tuple[str, str], group: str | None = None) -> DataFrame:
     # Null vectors are dropped inside the blocks: a filter here would be pushed below the projection
     # that computes the vectors and compute them twice.
     names = {"vector": vector} if isinstance(vector, str) else dict(zip(("keys", "values"), vector))
+    if group:
+        names["group"] = group
     return df.select(F.col(id).alias("id"), *[F.col(c).alias(n) for n, c in names.items()])
 
 
@@ -56,71 +68,103 @@ def top_k(
     vector: str | tuple[str, str] = "embedding",
     normalize: bool = True,
     positive: bool = False,
+    group: str | None = None,
+    distinct: bool = False,
     held_bytes: int = HELD_BYTES,
     tile_bytes: int = TILE_BYTES,
+    compared: Accumulator | None = None,
 ) -> DataFrame:
-    """``(query_id, corpus_id, score, rank)``: the k best corpus rows per query, ties by corpus id.
+    """``(query_id, corpus_id[, group], score, rank)``: the k best corpus rows per query, ties by corpus id.
 
     ``vector`` is an array column (dense) or a pair of parallel array columns (sparse keys, values).
-    ``positive`` drops scores of zero and below, i.e. sparse rows that share no key.
+    ``positive`` drops scores of zero and below, i.e. sparse rows that share no key. ``group`` is a
+    corpus column that is handed on; ``distinct`` then takes the best row of each group only, and a
+    null group is one group. ``compared`` adds up the pairs whose score was computed.
     """
-    q, c = _side(queries, query_id, vector), _side(corpus, corpus_id, vector)
+    if distinct and group is None:
+        raise ValueError("distinct needs a group")
+    q, c = _side(queries, query_id, vector), _side(corpus, corpus_id, vector, group)
     types = {"query": q.schema["id"].dataType, "id": c.schema["id"].dataType, "score": T.DoubleType()}
-    schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
-    arrow = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()])
+    if group:
+        types["group"] = c.schema["group"].dataType
+    search = _Search(k, normalize, positive, distinct, types, compared)
 
     q_rows, q_bytes = _measure(q)
     if q_bytes <= held_bytes:
-        found = _hold_queries(q, c, k, normalize, positive, schema, arrow)
+        found = search.best(search.hold_queries(q, c)[0])
     else:
         c_rows, c_bytes = _measure(c)
         if c_bytes <= held_bytes:
-            found = _hold_corpus(q, c, k, normalize, positive, schema, arrow)
+            found = search.best(search.hold_corpus(q, c)[0])
         else:
-            tiles = [max(1, math.ceil(b / tile_bytes)) for b in (q_bytes, c_bytes)]
-            found = _tiled(q, c, k, normalize, positive, schema, arrow, *tiles)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.col("query").alias(query_id), F.col("id").alias(corpus_id), "score", "rank")
+            found = search.slabs(q, c, q_bytes <= c_bytes, max(1, math.ceil(min(q_bytes, c_bytes) / tile_bytes)))
+    return found.select(
+        F.col("query").alias(query_id),
+        F.col("id").alias(corpus_id),
+        *([F.col("group").alias(group)] if group else []),
+        "score",
+        "rank",
     )
 
 
-def _hold_queries(q, c, k, normalize, positive, schema, arrow) -> DataFrame:
-    held = q.sparkSession.sparkContext.broadcast(make_block(q.toArrow(), normalize))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = (make_block(pa.Table.from_batches([b]), normalize) for b in batches)
-        best = best_for_held(blocks, held.value, k, positive)
-        yield from pa.Table.from_pandas(best, arrow, preserve_index=False).to_batches(100_000)
-
-    return c.mapInArrow(run, schema)
-
-
-def _hold_corpus(q, c, k, normalize, positive, schema, arrow) -> DataFrame:
-    held = q.sparkSession.sparkContext.broadcast(make_block(c.toArrow(), normalize))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexed = index_block(held.value)
-        for b in batches:
-            best = best_for_streamed(make_block(pa.Table.from_batches([b]), normalize), indexed, k, positive)
+class _Search:
+    """How blocks meet, for fixed settings."""
+
+    def __init__(self, k: int, normalize: bool, positive: bool, distinct: bool, types: dict, compared: Accumulator | None):
+        self.k, self.normalize, self.positive, self.distinct = k, normalize, positive, distinct
+        self.grouped, self.compared = "group" in types, compared
+        self.schema = T.StructType([T.StructField(n, t) for n, t in types.items()])
+        self.arrow = pa.schema([(n, to_arrow_type(t)) for n, t in types.items()])
+
+    def best(self, found: DataFrame) -> DataFrame:
+        """The k best of all rows found by the tasks."""
+        order = [F.desc("score"), F.asc("id")]
+        if self.distinct:
+            # Dealt by query once: that serves both windows.
+            first = F.row_number().over(Window.partitionBy("query", "group").orderBy(*order))
+            found = found.repartition("query").withColumn("_n", first).filter("_n = 1").drop("_n")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= self.k)
+
+    def hold_queries(self, q: DataFrame, c: DataFrame) -> tuple[DataFrame, Broadcast]:
+        held = q.sparkSession.sparkContext.broadcast(make_block(q.toArrow(), self.normalize))
+        k, normalize, positive, distinct, grouped = self.k, self.normalize, self.positive, self.distinct, self.grouped
+        arrow, compared = self.arrow, self.compared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = (make_block(pa.Table.from_batches([b]), normalize) for b in batches)
+            best = best_for_held(blocks, held.value, k, positive, distinct, grouped, compared)
             yield from pa.Table.from_pandas(best, arrow, preserve_index=False).to_batches(100_000)
 
-    return q.mapInArrow(run, schema)
-
-
-def _tiled(q, c, k, normalize, positive, schema, arrow, q_tiles: int, c_tiles: int) -> DataFrame:
-    """Every query tile meets every corpus tile once; a row is copied once per tile of the other side."""
-    own_q = F.pmod(F.xxhash64("id"), F.lit(q_tiles)).cast("int")
-    own_c = F.pmod(F.xxhash64("id"), F.lit(c_tiles)).cast("int")
-    left = q.withColumn("qt", own_q).withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))))
-    right = c.withColumn("ct", own_c).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
-
-    def run(tile_q: pa.Table, tile_c: pa.Table) -> pa.Table:
-        best = best_for_held(
-            iter([make_block(tile_c, normalize)]), make_block(tile_q, normalize), k, positive
-        )
-        return pa.Table.from_pandas(best, arrow, preserve_index=False)
-
-    return left.groupBy("qt", "ct").cogroup(right.groupBy("qt", "ct")).applyInArrow(run, schema)
+        return c.mapInArrow(run, self.schema), held
+
+    def hold_corpus(self, q: DataFrame, c: DataFrame) -> tuple[DataFrame, Broadcast]:
+        held = q.sparkSession.sparkContext.broadcast(make_block(c.toArrow(), self.normalize))
+        k, normalize, positive, distinct = self.k, self.normalize, self.positive, self.distinct
+        arrow, compared = self.arrow, self.compared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexed = index_block(held.value)
+            for b in batches:
+                block = make_block(pa.Table.from_batches([b]), normalize)
+                best = best_for_streamed(block, indexed, k, positive, distinct, compared)
+                yield from pa.Table.from_pandas(best, arrow, preserve_index=False).to_batches(100_000)
+
+        return q.mapInArrow(run, self.schema), held
+
+    def slabs(self, q: DataFrame, c: DataFrame, queries_are_small: bool, n: int) -> DataFrame:
+        """Send the smaller side in ``n`` slabs, one after another; the other side is read once per slab."""
+        spark, folder = q.sparkSession, f"{shared_dir(q.sparkSession)}/slabs-{uuid.uuid4().hex}"
+        slab = F.pmod(F.xxhash64("id"), F.lit(n))
+        paths = []
+        for i in range(n):
+            if queries_are_small:
+                found, held = self.hold_queries(q.filter(slab == i), c)
+                found = self.best(found).drop("rank")  # all that concerns these queries
+            else:
+                found, held = self.hold_corpus(q, c.filter(slab == i))
+            paths.append(f"{folder}/{i}")
+            found.write.parquet(paths[-1])
+            held.destroy()
+        parts = [spark.read.schema(self.schema).parquet(p) for p in paths]
+        return self.best(reduce(DataFrame.unionByName, parts))

@@ -103,32 +103,53 @@ def build_index(
     return index
 
 
-def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N) -> DataFrame:
+def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, exact: bool = False) -> DataFrame:
     """Best ``n`` corpus rows per ``(query_id, text)`` after collapsing near-equal titles.
 
-    Three times as many candidates are fetched, so a query may end up with fewer than ``n``. Queries
-    need a unique ``query_id``. Their vectors are written to the shared folder first, so that
-    measuring and sending them does not encode them twice.
+    Three times as many candidates are fetched, so a query may end up with fewer than ``n``. With
+    ``exact`` the search itself keeps the best row per title, and ``n`` rows come back wherever the
+    corpus has ``n`` different titles. Queries need a unique ``query_id``. Their vectors are written
+    to the shared folder first, so that measuring and sending them does not encode them twice.
     """
     cleaned = queries.select("query_id", clean_text("text").alias("text"))
     vectors = settle(index.with_vectors(cleaned, "text", "query_id").drop("text"), "queries")
-    found = top_k(vectors, index.corpus, OVERFETCH * n, corpus_id=index.corpus_id, vector=index.vector)
-    # The candidates of a checked number of queries are sent to the corpus rows; otherwise both meet
-    # in a shuffle, which a few candidates would not be worth.
+    keyed = "title_key" in index.corpus.columns
+    wanted = n if exact else OVERFETCH * n
+    search = {"group": "title_key", "distinct": True} if exact and keyed else {}
+    found = top_k(vectors, index.corpus, wanted, corpus_id=index.corpus_id, vector=index.vector, **search)
+    # Titles collapse on ids and keys; only the rows that stay fetch their texts. A checked number of
+    # them is sent to the corpus; otherwise both meet in a shuffle, which a few would not be worth.
     id_bytes = F.octet_length(F.col("query_id").cast("string")) + F.lit(CANDIDATE_BYTES)
-    size = vectors.agg(F.coalesce(F.sum(id_bytes), F.lit(0)).alias("b")).first()["b"] * OVERFETCH * n
-    return best_matches(F.broadcast(found) if size <= HELD_BYTES else found, index.corpus, n, index.corpus_id)
+    size = vectors.agg(F.coalesce(F.sum(id_bytes), F.lit(0)).alias("b")).first()["b"]
+    if keyed and not search:
+        sent = F.broadcast(found) if size * wanted <= HELD_BYTES else found
+        found = sent.join(index.corpus.select(index.corpus_id, "title_key"), index.corpus_id)
+    kept = collapsed(found, n)
+    return with_texts(F.broadcast(kept) if size * n <= HELD_BYTES else kept, index.corpus, index.corpus_id)
+
+
+def collapsed(found: DataFrame, n: int = TOP_N) -> DataFrame:
+    """The first ``n`` of ranked candidates with a percentage, one per ``title_key`` if they have one."""
+    scored = found.withColumn("similarity_percentage", to_percent("score")).drop("score")
+    if "title_key" in found.columns:
+        scored = keep_best_titles(scored)
+    return scored.filter(F.col("rank") <= n)
+
+
+def with_texts(kept: DataFrame, corpus: DataFrame, corpus_id: str = "person_id") -> DataFrame:
+    """Matches with the displayed title and text of their corpus rows."""
+    title = "shown_title" if "shown_title" in corpus.columns else "title"
+    texts = [F.col(c).alias(n) for n, c in (("title", title), ("embedding_text", "embedding_text")) if c in corpus.columns]
+    names = [n for n, c in (("title", title), ("embedding_text", "embedding_text")) if c in corpus.columns]
+    rows = kept.join(corpus.select(corpus_id, *texts), corpus_id)
+    return rows.select("query_id", "rank", corpus_id, *names, "similarity_percentage")
 
 
 def best_matches(found: DataFrame, corpus: DataFrame, n: int = TOP_N, corpus_id: str = "person_id") -> DataFrame:
-    """Ranked candidates joined with their corpus rows: percentages, titles collapsed, first ``n``."""
-    names = (corpus_id, "title", "shown_title", "title_key", "embedding_text")
-    carried = [c for c in names if c in corpus.columns]
-    rows = found.join(corpus.select(*carried), corpus_id).withColumn("similarity_percentage", to_percent("score"))
-    if "shown_title" in carried:
-        rows = keep_best_titles(rows.withColumn("title", F.col("shown_title")).drop("shown_title"))
-    columns = [c for c in (corpus_id, "title", "embedding_text") if c in rows.columns]
-    return rows.filter(F.col("rank") <= n).select("query_id", "rank", *columns, "similarity_percentage")
+    """Ranked candidates ``(query_id, corpus id, score, rank)`` collapsed by title, the first ``n`` with their texts."""
+    if "title_key" in corpus.columns and "title_key" not in found.columns:
+        found = found.join(corpus.select(corpus_id, "title_key"), corpus_id)
+    return with_texts(collapsed(found, n), corpus, corpus_id)
 
 
 def match_files(

@@ -236,8 +236,27 @@ def candidates(n: int) -> str:
     FROM ranked r JOIN corpus c USING (person_id) WHERE rank <= {3 * n}"""
 
 
-def sparse_matches(queries: str, n: int = 5, limit: str = "LIMIT 10000") -> str:
-    """CTEs up to the ``n`` best ``matches`` of the query texts against the documents."""
+def matched_exactly(n: int) -> str:
+    """As ``matched``, from all corpus rows: the best row per title, whatever its rank."""
+    return f"""
+    once AS MATERIALIZED ({standardized("corpus", "title")}),
+    twice AS MATERIALIZED ({standardized("once", "title")}),
+    keyed AS MATERIALIZED ({comparison_keys("SELECT * FROM twice", "title", "title_key")}),
+    best AS (
+      SELECT query_id, person_id, title, embedding_text, r.rank AS place, round_even(score * 100, 2) AS similarity_percentage
+      FROM ranked r JOIN keyed USING (person_id)
+      QUALIFY row_number() OVER (PARTITION BY query_id, title_key ORDER BY r.rank) = 1),
+    matches AS (
+      SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank
+      FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= {n})
+    """
+
+
+def sparse_matches(queries: str, n: int = 5, limit: str = "LIMIT 10000", exact: bool = False) -> str:
+    """CTEs up to the ``n`` best ``matches`` of the query texts against the documents.
+
+    ``exact`` collapses the titles of all documents, not of the first candidates only.
+    """
     return f"""
     {fitted(queries, limit)},
     scored AS (
@@ -246,7 +265,7 @@ def sparse_matches(queries: str, n: int = 5, limit: str = "LIMIT 10000") -> str:
         SELECT query_id, person_id, sum(a.weight * b.weight) AS s
         FROM query_weights a JOIN weights b USING (term) GROUP BY ALL) USING (query_id, person_id)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS rank FROM scored),
-    {matched(candidates(n), n)}
+    {matched_exactly(n) if exact else matched(candidates(n), n)}
     """
 
 
@@ -643,6 +662,12 @@ def oracle_sql() -> dict[str, str]:
         "vector_cosine": """SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE),
                               list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS similarity
                             FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        "dense_top_k_slabs": f"WITH {VECTORS} SELECT query_id, person_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 15",
+        "dense_top_k_by_label": f"""WITH {VECTORS}, firsts AS (
+              SELECT query_id, r.person_id, label, score, r.rank AS place FROM ranked r JOIN embeddings e ON e.vec_id = r.person_id
+              QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY r.rank) = 1)
+            SELECT query_id, person_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place)::INT AS rank
+            FROM firsts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 5""",
         "dense_top_k": f"WITH {VECTORS} SELECT query_id, person_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 15",
         "sparse_top_k": f"""WITH {tfidf("documents", "doc_id", "text")}, pairs AS (
               SELECT a.doc_id AS query_id, b.doc_id AS person_id, round(sum(a.weight * b.weight), 9) AS score
@@ -670,6 +695,12 @@ def oracle_sql() -> dict[str, str]:
             "corpus_documents",
             "query_documents",
         ),
+        "match_documents_exact": with_views(
+            f"""WITH {sparse_matches("query_documents", exact=True)}
+                SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",
+            "corpus_documents",
+            "query_documents",
+        ),
         "match_documents_uncapped": with_views(
             f"""WITH {sparse_matches("query_documents", limit="")}
                 SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",

@@ -251,7 +251,8 @@ def weighted_text(spark, d):
 @query
 def embed_documents(spark, d):
     vectors_of = embedding.embed(_documents(spark, d), "text", dim=256)
-    entries = vectors_of.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0")
+    # Outer: otherwise a filter on the size of the vectors would be pushed below the scan's redistribution.
+    entries = vectors_of.select("doc_id", F.posexplode_outer("embedding").alias("place", "value")).filter("value <> 0")
     return entries.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
@@ -288,6 +289,23 @@ def sparse_top_k(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def dense_top_k_slabs(spark, d):
+    """As ``dense_top_k`` with neither side small enough to be held whole: four slabs of queries or more."""
+    vectors_of = _vectors(spark, d, "query_id")
+    slab = vectors_of.count() * 64 * 8 // 4
+    found = similarity.top_k(vectors_of, _vectors(spark, d, "person_id"), 15, held_bytes=0, tile_bytes=slab)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def dense_top_k_by_label(spark, d):
+    """The five best labels of every vector, each with its nearest vector."""
+    corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("person_id"), "embedding", "label")
+    found = similarity.top_k(_vectors(spark, d, "query_id"), corpus, 5, group="label", distinct=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # ---- matching
 
 
@@ -330,6 +348,11 @@ def match_documents(spark, d):
     return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True))
 
 
+@query
+def match_documents_exact(spark, d):
+    return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True), exact=True)
+
+
 @query
 def match_documents_uncapped(spark, d):
     return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True, max_features=None))
