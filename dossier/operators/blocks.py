@@ -24,6 +24,9 @@ WIDE_SHARE = 1 / 64
 CLUSTERED_ROWS = 256
 ROOM = 1e-8
 
+# Above this share of a list's cells that can matter, a matrix product is faster than single cells.
+CELL_SHARE = 1 / 32
+
 
 def make_block(table: pa.Table, normalize: bool) -> dict:
     """Columns ``id, vector`` (dense) or ``id, keys, values`` (sparse) of an Arrow table, and ``group`` if there is one."""
@@ -89,20 +92,31 @@ def index_block(block: dict) -> dict:
         "index": index,
         "place": place,
         "wide": matrix,
+        "wide_rows": np.ascontiguousarray(matrix.T),
+        "wide_norm": np.sqrt((matrix * matrix).sum(axis=0)),
+        "wide_hits": np.count_nonzero(matrix, axis=1),
         "starts": starts,
         "hit_rows": block["rows"][rare][order],
         "hit_values": block["values"][rare][order],
     }
 
 
-def score_chunks(streamed: dict, held: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """Yield (first streamed row, scores of a run of streamed rows against all held rows)."""
+def score_chunks(
+    streamed: dict, held: dict, floor: np.ndarray | None = None, k: int | None = None, tally: list | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Yield (first streamed row, scores of a run of streamed rows against all held rows).
+
+    Sparse cells that cannot reach a list may come as minus infinity: below ``floor``, the k-th score
+    of every held row so far, or outside the ``k`` best of their streamed row. ``tally`` gets the
+    number of entries that were multiplied.
+    """
     n, width = streamed["n"], held["n"]
     if not n or not width:
         return
     step = max(1, CELLS // width)
     if "matrix" in held:
         for start in range(0, n, step):
+            _count(tally, min(step, n - start) * width)
             yield start, np.round(streamed["matrix"][start : start + step] @ held["matrix"].T, SCORE_DIGITS)
         return
     codes = held["index"].get_indexer(streamed["keys"]) if len(held["index"]) else np.full(len(streamed["keys"]), -1)
@@ -123,19 +137,74 @@ def score_chunks(streamed: dict, held: dict) -> Iterator[tuple[int, np.ndarray]]
         cell = np.repeat(own, h) * width + held["hit_rows"][at]
         total = np.bincount(cell, np.repeat(weight, h) * held["hit_values"][at], minlength=(stop - start) * width)
         total = total.reshape(stop - start, width)
+        _count(tally, len(cell))
         if len(held["wide"]):
             frequent = np.zeros((stop - start, len(held["wide"])))
             inside = place[part] >= 0
             np.add.at(frequent, (own[inside], place[part][inside]), weight[inside])
-            total = total + frequent @ held["wide"]
+            total = add_frequent(total, frequent, held, floor, k, tally)
         yield start, np.round(total, SCORE_DIGITS)
         start = stop
 
 
+def _count(tally: list | None, n: int) -> None:
+    if tally is not None:
+        tally.append(int(n))
+
+
+def add_frequent(
+    total: np.ndarray, frequent: np.ndarray, held: dict, floor: np.ndarray | None, k: int | None, tally: list | None
+) -> np.ndarray:
+    """Scores by rare keys plus the share of the frequent keys, where that can still matter.
+
+    By Cauchy-Schwarz the frequent keys of two rows add at most the product of their lengths. A cell
+    stays if its rare keys and this bound reach the k-th score: that of the held row's list so far,
+    or of the streamed row's k best cells by rare keys, whose scores are completed first.
+    """
+    wide, width = held["wide_rows"], total.shape[1]
+    entries = np.count_nonzero(frequent, axis=1)
+    least = None
+    if floor is not None:
+        least = floor[None, :]
+    elif k is not None and width > k:
+        top = np.argpartition(total, width - k, axis=1)[:, width - k :]
+        least = np.empty((len(total), 1))
+        step = max(1, CELLS // (k * wide.shape[1]))
+        for start in range(0, len(total), step):
+            t = top[start : start + step]
+            done = np.take_along_axis(total[start : start + step], t, axis=1)
+            least[start : start + step, 0] = (done + np.einsum("rf,rkf->rk", frequent[start : start + step], wide[t])).min(axis=1)
+        _count(tally, entries.sum() * k)
+    if least is None:
+        _count(tally, np.count_nonzero(frequent, axis=0) @ held["wide_hits"])
+        return total + frequent @ held["wide"]
+    length = np.sqrt((frequent * frequent).sum(axis=1))
+    keep = total + length[:, None] * held["wide_norm"] >= least - ROOM
+    out = np.full(total.shape, -np.inf)
+    # Lists that most cells can still enter get the whole product, the others single cells.
+    axis = 1 if floor is None else 0
+    many = np.count_nonzero(keep, axis=axis) > CELL_SHARE * keep.shape[axis]
+    if floor is None:
+        out[many] = total[many] + frequent[many] @ held["wide"]
+        keep[many] = False
+        _count(tally, np.count_nonzero(frequent[many], axis=0) @ held["wide_hits"])
+    else:
+        out[:, many] = total[:, many] + frequent @ held["wide"][:, many]
+        keep[:, many] = False
+        _count(tally, np.count_nonzero(frequent, axis=0) @ np.count_nonzero(held["wide"][:, many], axis=1))
+    r, c = np.nonzero(keep)
+    step = max(1, CELLS // wide.shape[1])
+    for start in range(0, len(r), step):
+        a, b = r[start : start + step], c[start : start + step]
+        out[a, b] = total[a, b] + np.einsum("pf,pf->p", frequent[a], wide[b])
+    _count(tally, entries[r].sum())
+    return out
+
+
 def candidates(scores: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of everything that can be among the k best of its row, ties included."""
     width = scores.shape[1]
-    keep = scores > 0 if positive else np.ones(scores.shape, dtype=bool)
+    keep = scores > (0 if positive else -np.inf)
     if width > k:
         keep &= scores >= np.partition(scores, width - k, axis=1)[:, width - k : width - k + 1]
     r, c = np.nonzero(keep)
@@ -221,7 +290,7 @@ def floors(best: pd.DataFrame | None, n: int, k: int) -> np.ndarray:
 def near_clusters(block: dict, held: dict, floor: np.ndarray, positive: bool) -> tuple[pd.DataFrame, int] | None:
     """Rows of a dense block that can still enter the lists of held queries, and the pairs compared.
 
-    Nothing if most clusters are near most queries, where the whole block is compared faster. By
+    Nothing if most clusters are near most queries: then the whole block is compared faster. By
     Cauchy-Schwarz no row of a cluster scores above that of its centre plus radius times the length of the query.
     """
     queries, rows = held["matrix"], block["matrix"]
@@ -268,10 +337,12 @@ def best_for_held(
         if near is not None:
             best, pairs = k_best(pd.concat([best, near[0]]), k, distinct), pairs + near[1]
             continue
-        pairs += block["n"] * held["n"]
-        for start, scores in score_chunks(block, held):
+        tally: list[int] = []
+        floor = floors(best, held["n"], k) if "wide" in held and best is not None else None
+        for start, scores in score_chunks(block, held, floor, tally=tally):
             found = found_rows(scores.T, block, start, k, positive, distinct)
             best = k_best(found if best is None else pd.concat([best, found]), k, distinct)
+        pairs += sum(tally)
     if compared is not None:
         compared.add(pairs)
     if best is None:
@@ -283,10 +354,11 @@ def best_for_streamed(
     block: dict, held: dict, k: int, positive: bool, distinct: bool = False, compared=None
 ) -> pd.DataFrame:
     """The corpus is held (and indexed), a block of queries streams by."""
-    if compared is not None:
-        compared.add(block["n"] * held["n"])
-    parts = []
-    for start, scores in score_chunks(block, held):
+    parts, tally = [], []
+    # Different groups need scores beyond the k best.
+    for start, scores in score_chunks(block, held, k=None if distinct else k, tally=tally):
         found = k_best(found_rows(scores, held, 0, k, positive, distinct), k, distinct)
         parts.append(found.assign(query=block["ids"][start + found["query"].to_numpy(dtype=np.int64)]))
+    if compared is not None:
+        compared.add(sum(tally))
     return pd.concat(parts) if parts else no_rows(grouped="groups" in held)

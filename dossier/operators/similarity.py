@@ -12,6 +12,8 @@ group, only the best row of each group counts, so k different groups come back w
 
 Dense rows that stream past held queries are clustered inside their block. Centre and radius bound
 every score of a cluster, so a cluster below a query's k-th score so far is not compared with it.
+Sparse rows meet by postings of their rarer keys; the frequent keys are looked at only where the
+rare ones and a bound on the rest reach the k-th score.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.stages import shared_dir
+from ..sources.stages import hold, shared_dir
 from .blocks import best_for_held, best_for_streamed, index_block, make_block
 
 HELD_BYTES = 64 << 20
@@ -79,7 +81,8 @@ def top_k(
     ``vector`` is an array column (dense) or a pair of parallel array columns (sparse keys, values).
     ``positive`` drops scores of zero and below, i.e. sparse rows that share no key. ``group`` is a
     corpus column that is handed on; ``distinct`` then takes the best row of each group only, and a
-    null group is one group. ``compared`` adds up the pairs whose score was computed.
+    null group is one group. ``compared`` adds up the work: pairs of dense rows whose score was
+    computed, or entries of sparse rows that were multiplied.
     """
     if distinct and group is None:
         raise ValueError("distinct needs a group")
@@ -91,11 +94,15 @@ def top_k(
 
     q_rows, q_bytes = _measure(q)
     if q_bytes <= held_bytes:
-        found = search.best(search.hold_queries(q, c)[0])
+        found, sent = search.hold_queries(q, c)
+        hold(sent)
+        found = search.best(found)
     else:
         c_rows, c_bytes = _measure(c)
         if c_bytes <= held_bytes:
-            found = search.best(search.hold_corpus(q, c)[0])
+            found, sent = search.hold_corpus(q, c)
+            hold(sent)
+            found = search.best(found)
         else:
             found = search.slabs(q, c, q_bytes <= c_bytes, max(1, math.ceil(min(q_bytes, c_bytes) / tile_bytes)))
     return found.select(

@@ -108,25 +108,45 @@ def fit(
     terms. Only a capped vocabulary of checked size is brought to the driver.
     """
     n_docs = df.count()
-    counts = term_counts(df, text, stop_words, ngram_range).filter(
-        (F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)
-    )
+    counts = term_counts(df, text, stop_words, ngram_range)
+    chosen = settle(choose_terms(counts, n_docs, max_features, min_df, max_df), "vocabulary")
+    return model_of(chosen, n_docs, max_features, stop_words, ngram_range, broadcast_terms)
+
+
+def choose_terms(
+    counts: DataFrame,
+    n_docs: int,
+    max_features: int | None = MAX_FEATURES,
+    min_df: int = MIN_DF,
+    max_df: float = MAX_DF,
+) -> DataFrame:
+    """``(term, tf, df, idf)`` of the terms of ``counts(term, tf, df)`` that enter the vocabulary."""
+    within = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocabulary = counts.withColumn("idf", idf)
-    model = TfidfModel(vocabulary, n_docs, list(stop_words), ngram_range)
+    vocabulary = within.withColumn("idf", idf).select("term", "tf", "df", "idf")
     if max_features is None:
-        model.vocabulary = settle(vocabulary, "vocabulary")
-        return model
-    capped = settle(vocabulary.orderBy(F.desc("tf"), "term").limit(max_features), "vocabulary")
-    model.vocabulary = capped
-    if max_features > broadcast_terms:
+        return vocabulary
+    return vocabulary.orderBy(F.desc("tf"), "term").limit(max_features)
+
+
+def model_of(
+    vocabulary: DataFrame,
+    n_docs: int,
+    max_features: int | None = MAX_FEATURES,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    ngram_range: tuple[int, int] = NGRAM_RANGE,
+    broadcast_terms: int = BROADCAST_TERMS,
+) -> TfidfModel:
+    """The model of a stored vocabulary; a capped one of checked size is brought to the driver."""
+    model = TfidfModel(vocabulary, n_docs, list(stop_words), ngram_range)
+    if max_features is None or max_features > broadcast_terms:
         return model
-    size = capped.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()["b"]
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()["b"]
     if size <= BROADCAST_BYTES:
-        rows = sorted(capped.collect(), key=lambda r: r["term"].encode())
+        rows = sorted(vocabulary.collect(), key=lambda r: r["term"].encode())
         model.terms = [r["term"] for r in rows]
         model.idf = [r["idf"] for r in rows]
-        model.vocabulary = df.sparkSession.createDataFrame(
+        model.vocabulary = vocabulary.sparkSession.createDataFrame(
             [(r["term"], i, r["tf"], r["df"], r["idf"]) for i, r in enumerate(rows)],
             "term string, idx int, tf long, df long, idf double",
         )

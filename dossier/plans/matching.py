@@ -13,11 +13,25 @@ from ..functions.titles import comparison_key, standardize
 from ..functions.vectors import to_percent
 from ..operators.collapse import folder_summary, keep_best_titles, overall_summary, query_summary
 from ..operators.embedding import DIMENSION, Encoder, embed
+from ..operators.encoding_store import EncodingStore
 from ..operators.similarity import HELD_BYTES, top_k
-from ..operators.tfidf import TfidfModel, doc_terms, fit, vectorize, weight_text
+from ..operators.term_store import stored_counts
+from ..operators.tfidf import (
+    MAX_DF,
+    MAX_FEATURES,
+    MIN_DF,
+    TfidfModel,
+    choose_terms,
+    doc_terms,
+    fit,
+    model_of,
+    term_counts,
+    vectorize,
+    weight_text,
+)
 from ..sources.documents import SCANNED_TYPES, extract_text, scan_documents
-from ..sources.sinks import write_json, write_table, write_text
-from ..sources.stages import materialize, settle
+from ..sources.sinks import write_json, write_table
+from ..sources.stages import StageGraph, input_fingerprint, materialize, settle
 
 # How many matches are returned, and fetched per returned one.
 TOP_N = 5
@@ -42,6 +56,7 @@ class MatchIndex:
     dim: int = DIMENSION
     sparse: bool = False
     corpus_id: str = "person_id"
+    encodings: EncodingStore | None = None
 
     @property
     def vector(self) -> str | tuple[str, str]:
@@ -60,6 +75,8 @@ class MatchIndex:
             vectors = vectorize(df, self.model, text, "_v")
             return vectors.withColumns({keys: F.col("_v.idx"), values: F.col("_v.weight")}).drop("_v")
         weighted = weight_text(df, self.model, text, "_weighted", doc_id=doc_id)
+        if self.encodings:
+            return self.encodings.embed(weighted, "_weighted", "embedding").drop("_weighted")
         return embed(weighted, "_weighted", "embedding", self.load_encoder, self.dim).drop("_weighted")
 
 
@@ -83,14 +100,29 @@ def build_index(
     config: Mapping | None = None,
     corpus_id: str = "person_id",
     fix_quirks: bool = False,
+    encoder: str | None = None,
+    grows: bool = False,
+    encodings: str | None = None,
     **fit_options,
 ) -> MatchIndex:
     """Fit the vocabulary, encode the corpus and write it: every match reads it several times.
 
-    With ``path`` it is kept there as a stage and reused; ``config`` must then name the encoder and
-    everything else that changes the vectors. Otherwise it lives in the shared folder.
+    With ``path`` the index is kept there as a stage, and the vocabulary beside it in
+    ``<path>-model``; both are loaded while the corpus files and settings stay the same. An encoder
+    of the caller's must then have a name (``encoder``, or that entry of ``config``). With ``grows``
+    term counts are kept per corpus file, so that new files add their counts to those of the others;
+    the corpus must then be a scan of files. ``encodings`` names a store of encoded texts, from which
+    known texts are taken. Without ``path`` the index lives in the shared folder.
     """
-    index = MatchIndex(corpus, fit(corpus, "embedding_text", **fit_options), load_encoder, dim, sparse, corpus_id)
+    name = encoder or (config or {}).get("encoder")
+    if load_encoder and not sparse and (path or encodings) and not name:
+        raise ValueError("a stored index of an encoder needs the encoder's name: two encoders must not share one")
+    if path is None:
+        model = fit(corpus, "embedding_text", **fit_options)
+    else:
+        model = stored_model(corpus, f"{path.rstrip('/')}-model", grows, **fit_options)
+    store = EncodingStore(encodings, name or "hashing", load_encoder, dim) if encodings and not sparse else None
+    index = MatchIndex(corpus, model, load_encoder, dim, sparse, corpus_id, store)
 
     def encoded() -> DataFrame:
         return with_title_keys(index.with_vectors(corpus, "embedding_text", corpus_id), fix_quirks)
@@ -99,10 +131,34 @@ def build_index(
         index.corpus = settle(encoded(), "index")
     else:
         settings = {"dim": dim, "sparse": sparse, "fix_quirks": fix_quirks, "fit": fit_options, **(config or {})}
+        if name:
+            settings["encoder"] = name
         index.corpus = materialize(encoded, path, settings, source=corpus)
     return index
 
 
+def stored_model(corpus: DataFrame, path: str, grows: bool = False, text: str = "embedding_text", **options) -> TfidfModel:
+    """The TF-IDF model of a corpus read from files, fitted once: later calls load its vocabulary.
+
+    ``options`` are those of ``fit``; ``grows`` keeps term counts per file.
+    """
+    graph = StageGraph(corpus.sparkSession, path)
+    key = input_fingerprint(corpus.sparkSession, sorted(corpus.inputFiles()))
+    chosen = {"max_features": MAX_FEATURES, "min_df": MIN_DF, "max_df": MAX_DF, **options}
+    words = {k: chosen.pop(k) for k in ("stop_words", "ngram_range") if k in chosen}
+    sent = {k: chosen.pop(k) for k in ("broadcast_terms",) if k in chosen}
+
+    def fitted() -> tuple[DataFrame, Mapping]:
+        if grows:
+            stored = stored_counts(corpus, path, text, **words)
+            return choose_terms(stored.counts, stored.n_docs, **chosen), {"n_docs": stored.n_docs, "counted_files": stored.counted_files}
+        n_docs = corpus.count()
+        return choose_terms(term_counts(corpus, text, **words), n_docs, **chosen), {"n_docs": n_docs}
+
+    stage = graph.stage("vocabulary", fitted, {**chosen, **words, "text": text}, [key])
+    return model_of(stage.frame, stage.facts["n_docs"], chosen["max_features"], **words, **sent)
+
+
 def match(queries: DataFrame, index: MatchIndex, n: int = TOP_N, exact: bool = False) -> DataFrame:
     """Best ``n`` corpus rows per ``(query_id, text)`` after collapsing near-equal titles.
 
@@ -200,7 +256,9 @@ def match_folder(
     )
     if output:
         write_table(matches, f"{output}/matches", "csv")
-        write_text(extracted.filter(F.col("error").isNull()), f"{output}/extracted_text")
+        # With its path, as a row each: a folder per file would be as many folders as files.
+        write_json(extracted.filter(F.col("error").isNull()).select("path", "text"), f"{output}/extracted_text")
+        write_json(result.per_query, f"{output}/per_query")
         write_table(result.summary, f"{output}/summary", "csv")
         write_json(result.overall, f"{output}/overall_summary")
     return result

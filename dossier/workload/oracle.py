@@ -12,7 +12,7 @@ from ..functions.titles import (
     SPECIAL_TERMS,
 )
 from ..operators.ranking import K_VALUES, THRESHOLD_GRID
-from .views import with_views
+from .views import VIEWS, with_views
 
 
 def text(value: str) -> str:
@@ -587,6 +587,26 @@ def embedded_matches(queries: str, dim: int, n: int = 5) -> str:
     """
 
 
+def in_file_order(sql: str) -> str:
+    """SQL text over the profile views, of which each row's place in its sorted file is the ordinal."""
+    sorted_views = {
+        name: f"SELECT * EXCLUDE (ord), row_number() OVER (ORDER BY ord, {', '.join(columns)}) AS ord FROM ({VIEWS[name]})"
+        for name, columns in PROFILE_ORDER.items()
+    }
+    head = ",\n".join(f"{name} AS ({body})" for name, body in sorted_views.items())
+    return f"WITH {head},\n{sql.removeprefix('WITH ')}"
+
+
+# Columns that settle equal ordinals, in the order of the views.
+PROFILE_ORDER = {
+    "people": ["person_id", "name", "segment"],
+    "abilities": ["person_id", "ability"],
+    "education": ["person_id", "degree", "institution"],
+    "experience": ["person_id", "title"],
+    "person_skills": ["person_id", "skill"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "csv_profiles": "SELECT c_custkey AS person_id, c_name AS name, c_mktsegment AS segment FROM customer",
@@ -599,6 +619,9 @@ def oracle_sql() -> dict[str, str]:
         "text_audit": f"""SELECT doc_id, md5(t)[1:8] AS text_hash, trim(replace(substr(t, 1, 200), chr(10), ' ')) AS text_preview,
                                  length(t) AS n_chars FROM (SELECT doc_id, {clean("text")} AS t FROM documents)""",
         "extract_documents": f"SELECT 'doc-' || doc_id || '.txt' AS path, {clean('text')} AS text, NULL::VARCHAR AS error FROM documents",
+        "extract_docx": f"SELECT 'doc-' || doc_id || '.docx' AS path, {clean('text')} AS text, NULL::VARCHAR AS error FROM documents",
+        "extract_bounded": f"""SELECT 'doc-' || doc_id || '.txt' AS path, CASE WHEN strlen(text) <= 4000 THEN {clean('text')} END AS text,
+                CASE WHEN strlen(text) > 4000 THEN 'file of ' || strlen(text) || ' bytes is larger than 4000' END AS error FROM documents""",
         "extract_pages": f"""SELECT 'page-' || page_id || '.html' AS path, t AS text, NULL::VARCHAR AS error, md5(t)[1:8] AS text_hash,
                                     trim(t[1:200]) AS text_preview, length(t) AS n_chars
                              FROM (SELECT page_id, {clean(visible_text("html"))} AS t FROM pages)""",
@@ -635,6 +658,9 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {CORPUS} SELECT person_id, segment, ord, ability, degree, title, skill, n_copies, {EMBEDDING_TEXT} AS embedding_text FROM corpus",
             *PROFILE_VIEWS,
         ),
+        "corpus_from_files": in_file_order(
+            f"WITH {CORPUS} SELECT person_id, segment, ability, degree, title, skill, n_copies, {EMBEDDING_TEXT} AS embedding_text FROM corpus"
+        ),
         "corpus_build_thin": with_views(
             f"""WITH {PREPARED}, thin AS (
                   SELECT * FROM (SELECT segment, ability, min_by(person_id, ord) AS person_id, min(ord) AS ord, count(*) AS n_copies
@@ -650,6 +676,8 @@ def oracle_sql() -> dict[str, str]:
                              SELECT doc_id, term, count(*) AS tf FROM ({tokenized("documents", "doc_id", "text")}) GROUP BY ALL) GROUP BY term""",
         "tfidf_vocabulary": f"""WITH {tfidf("documents", "doc_id", "text")}
             SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS idx, tf, df, round(idf, 6) AS idf FROM vocabulary""",
+        "tfidf_vocabulary_grown": f"""WITH {tfidf("documents", "doc_id", "text")}
+            SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS idx, tf, df, round(idf, 6) AS idf FROM vocabulary""",
         "tfidf_vocabulary_uncapped": f"""WITH {tfidf("documents", "doc_id", "text", "")}
             SELECT term, tf, df, round(idf, 6) AS idf FROM vocabulary""",
         "tfidf_weights": f"""WITH {tfidf("documents", "doc_id", "text")} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights""",
@@ -659,6 +687,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE place <= 20""",
         "weighted_text": WEIGHTED_TEXT,
         "embed_documents": f"SELECT doc_id, place, round(value, 6) AS value FROM ({hashed('documents', 'doc_id', 'text', 256)})",
+        "embed_documents_once": f"SELECT doc_id, place, round(value, 6) AS value FROM ({hashed('documents', 'doc_id', 'text', 256)})",
         "vector_cosine": """SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE),
                               list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS similarity
                             FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
@@ -695,6 +724,12 @@ def oracle_sql() -> dict[str, str]:
             "corpus_documents",
             "query_documents",
         ),
+        "match_documents_stored": with_views(
+            f"""WITH {sparse_matches("query_documents")}
+                SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",
+            "corpus_documents",
+            "query_documents",
+        ),
         "match_documents_exact": with_views(
             f"""WITH {sparse_matches("query_documents", exact=True)}
                 SELECT query_id, rank, person_id, title, embedding_text, similarity_percentage FROM matches""",
@@ -749,6 +784,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sample_judgments": _sample(),
         "evaluate_matcher": _evaluation(),
+        "evaluation_outputs": _evaluation(),
         "link_titles": _links(),
         "number_rows": """SELECT k, row_number() OVER (ORDER BY ('0x' || md5(k)[1:8])::BIGINT % 4096, k) - 1 AS row_index
                           FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)""",

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, titles, vectors
 from ..operators import collapse, corpus, embedding, linking, numbering, ranking, similarity, tfidf
+from ..operators.encoding_store import EncodingStore
 from ..plans import corpus_build, evaluation, matching
 from ..sources import documents, profiles, sinks, stages
 from ..streaming import match_stream
@@ -93,6 +98,39 @@ def extract_documents(spark, d):
     return documents.extract_text(files)
 
 
+def _docx(texts: pd.Series) -> pd.Series:
+    """A word document with each text as its only paragraph."""
+    namespace = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def package(text: str) -> bytes:
+        body = f'<w:document xmlns:w="{namespace}"><w:body><w:p><w:r><w:t>{escape(text)}</w:t></w:r></w:p></w:body></w:document>'
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", body)
+        return out.getvalue()
+
+    return texts.map(package)
+
+
+@query
+def extract_docx(spark, d):
+    files = _documents(spark, d).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
+        F.pandas_udf(_docx, "binary")("text").alias("content"),
+    )
+    return documents.extract_text(files)
+
+
+@query
+def extract_bounded(spark, d):
+    """Texts of all files up to a size; the larger ones are named with an error."""
+    files = _documents(spark, d).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.encode("text", "utf-8").alias("content"),
+    )
+    return documents.extract_text(files, max_bytes=4000)
+
+
 @query
 def extract_pages(spark, d):
     files = table(spark, d, "pages").select(
@@ -196,6 +234,16 @@ def corpus_build_full(spark, d):
 QUERIES["corpus_build"] = QUERIES.pop("corpus_build_full")
 
 
+@query
+def corpus_from_files(spark, d):
+    """The corpus of five profile files, which are checked, read and built; rows are in file order."""
+    folder = fresh(spark, "profiles")
+    for name, rows in _profiles(spark, d).items():
+        ordered = rows.orderBy("ord", *[c for c in rows.columns if c != "ord"]).drop("ord")
+        sinks.write_table(ordered, f"{folder}/{profiles.PROFILE_FILES[name]}", "csv")
+    return corpus_build.build(profiles.read_profiles(spark, folder)).drop("ord")
+
+
 @query
 def corpus_build_thin(spark, d):
     tables = _profiles(spark, d)
@@ -227,6 +275,17 @@ def tfidf_vocabulary_uncapped(spark, d):
     return vocabulary.select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
+@query
+def tfidf_vocabulary_grown(spark, d):
+    """The vocabulary of a corpus that has grown by new files, from stored counts of the files before."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("embedding_text"))
+    path, store = fresh(spark, "corpus"), fresh(spark, "model")
+    for part in range(2):
+        docs.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
+        model = matching.stored_model(spark.read.parquet(path), store, grows=True)
+    return model.vocabulary.withColumn("idf", F.round("idf", 6))
+
+
 @query
 def tfidf_weights(spark, d):
     docs = _documents(spark, d)
@@ -256,6 +315,17 @@ def embed_documents(spark, d):
     return entries.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+@query
+def embed_documents_once(spark, d):
+    """As ``embed_documents``, the texts of a first part being known when all are embedded."""
+    store = EncodingStore(fresh(spark, "encodings"), "hashing", dim=256)
+    docs = _documents(spark, d)
+    store.embed(docs.filter("doc_id % 3 = 0"), "text", "embedding")
+    vectors_of = store.embed(docs, "text", "embedding")
+    entries = vectors_of.select("doc_id", F.posexplode_outer("embedding").alias("place", "value")).filter("value <> 0")
+    return entries.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 def _vectors(spark, d, id) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias(id), "embedding")
 
@@ -348,6 +418,16 @@ def match_documents(spark, d):
     return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True))
 
 
+@query
+def match_documents_stored(spark, d):
+    """Matches of an index that is built, stored and loaded again."""
+    corpus = stages.settle(view(spark, d, "corpus_documents"), "corpus")
+    path = fresh(spark, "index")
+    for _ in range(2):
+        index = matching.build_index(corpus, sparse=True, path=path, grows=True)
+    return matching.match(view(spark, d, "query_documents"), index)
+
+
 @query
 def match_documents_exact(spark, d):
     return matching.match(view(spark, d, "query_documents"), _index(spark, d, sparse=True), exact=True)
@@ -511,3 +591,12 @@ def evaluate_matcher(spark, d):
     index = _index(spark, d, sparse=True)
     resumes = view(spark, d, "people").select(F.col("person_id").alias("resume_id"))
     return evaluation.evaluate_matcher(index, resumes=resumes).report.drop("position")
+
+
+@query
+def evaluation_outputs(spark, d):
+    """The report of an evaluation, read back from what the evaluation writes."""
+    index, output = _index(spark, d, sparse=True), fresh(spark, "evaluation")
+    resumes = view(spark, d, "people").select(F.col("person_id").alias("resume_id"))
+    done = evaluation.evaluate_matcher(index, resumes=resumes, output=output)
+    return spark.read.schema(done.report.schema).json(f"{output}/report").drop("position")
