@@ -8,7 +8,12 @@ wanted select documents.
   counts once per document, scaled by the logarithm of how often it occurs per word.
 * A null or empty text has no features and is scored by the thresholds alone.
 * Ratings: rows without a grade are not used; of several for a document the lowest grade holds.
+* Rows that repeat a rated id are fitted once, by the smallest text; each row is scored by its own text.
 * With no ratings of at least two grades nothing can be fitted: scores are null, everything is kept.
+  The same holds for the tail of a grade above all ratings, of which the ratings say nothing.
+* Equal texts have equal scores. A text of any length is read whole; an empty table gives no rows.
+* Columns of the documents that are called like a score are replaced, unless ``into`` names one new
+  column for all scores, which must not be there yet.
 """
 
 from __future__ import annotations
@@ -105,7 +110,9 @@ def train(documents: DataFrame, ratings: DataFrame, id: str = "doc_id", text: st
     """Fit on at most ``max_rated`` documents rated in ``ratings`` (id, grade)."""
     rated = ratings.filter("grade is not null").groupBy(id).agg(F.min("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64(F.col(id)), id).limit(max_rated)
-    chosen = documents.select(id, text).join(F.broadcast(rated), id).select("grade", text)
+    # One row per rated id, so that the bound on ids bounds what is fitted as well.
+    chosen = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rated.toDF("id", "grade")), "id")
+    chosen = chosen.groupBy("id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(dimensions)
@@ -125,11 +132,25 @@ def train(documents: DataFrame, ratings: DataFrame, id: str = "doc_id", text: st
     return fit([(g, np.frombuffer(i, "<i4"), np.frombuffer(v, np.float32)) for g, i, v in rows], dimensions) if rows else None
 
 
-def score(documents: DataFrame, model: Model | None, least: int, threshold: float, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``documents`` with ``expected_grade``, ``tail_probability`` (of grade ``least`` or more) and ``kept``."""
+def score(
+    documents: DataFrame,
+    model: Model | None,
+    least: int,
+    threshold: float,
+    text: str = "text",
+    dimensions: int = DIMENSIONS,
+    into: str | None = None,
+) -> DataFrame:
+    """``documents`` with ``expected_grade``, ``tail_probability`` (of grade ``least`` or more) and ``kept``.
+
+    ``into`` puts the three into one struct column of that name and leaves all others alone.
+    """
+    if into in documents.columns:
+        raise ValueError(f"the documents have a column {into} already")
     if model is None:
         none = F.lit(None).cast("double")
-        return documents.withColumns({"expected_grade": none, "tail_probability": none, "kept": F.lit(True)})
+        scores = {"expected_grade": none, "tail_probability": none, "kept": F.lit(True)}
+        return _with_scores(documents, scores, into)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("expected double, tail double")
@@ -137,19 +158,22 @@ def score(documents: DataFrame, model: Model | None, least: int, threshold: floa
         features, known = Features(dimensions), shared.value
         for texts in parts:
             tails = np.array([known.tails(*features(t)) for t in texts]).reshape(len(texts), -1)
-            at = min(least, tails.shape[1]) - 1
-            yield pd.DataFrame({"expected": tails.sum(axis=1), "tail": tails[:, at]})
+            # Every grade is at least 0; of grades above all ratings nothing is known.
+            tail = 1.0 if least <= 0 else tails[:, least - 1] if least <= tails.shape[1] else np.nan
+            yield pd.DataFrame({"expected": tails.sum(axis=1), "tail": tail})
 
     names = set(documents.columns)
-    made = next(n for n in ("_judged", "_judged_", "_judged__") if n not in names)
+    made = next(n for n in (f"_judged{'_' * i}" for i in range(len(names) + 1)) if n not in names)
     scored = documents.withColumn(made, judge(F.col(text)))
-    return scored.withColumns(
-        {
-            "expected_grade": F.col(f"{made}.expected"),
-            "tail_probability": F.col(f"{made}.tail"),
-            "kept": F.col(f"{made}.tail") >= threshold,
-        }
-    ).drop(made)
+    tail = F.nanvl(F.col(f"{made}.tail"), F.lit(None).cast("double"))
+    scores = {"expected_grade": F.col(f"{made}.expected"), "tail_probability": tail, "kept": F.coalesce(tail >= threshold, F.lit(True))}
+    return _with_scores(scored, scores, into).drop(made)
+
+
+def _with_scores(documents: DataFrame, scores: dict[str, Column], into: str | None) -> DataFrame:
+    if into:
+        return documents.withColumn(into, F.struct(*[c.alias(n) for n, c in scores.items()]))
+    return documents.withColumns(scores)
 
 
 def grade(quality: Column, toxic: Column) -> Column:

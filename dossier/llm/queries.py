@@ -68,10 +68,10 @@ def op6_personal_data(spark, d):
     )
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, into: str | None = None) -> DataFrame:
     """Documents with the scores of a classifier fitted on the graded labels."""
     ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    return ordinal.score(docs, ordinal.train(docs, ratings), GOOD, TAIL)
+    return ordinal.score(docs, ordinal.train(docs, ratings), GOOD, TAIL, into=into)
 
 
 @query
