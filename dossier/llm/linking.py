@@ -3,8 +3,12 @@
 ``postings`` says which items carry which key. Two items may be linked only if they share a key;
 ``verify`` decides. The result is exact for connectivity: every linked pair ends in one component.
 
-First every item of a key meets the key's leader, one pair per row. Then items that are already in
-the leader's component are done with each other; only items outside it meet the others of the key.
+In rounds, every key whose items lie in several components elects one of them as its leader, and
+every item outside the leader's component turns to the one leader that most of its keys name: at
+most one pair per item and round. Most links of a large group of near copies are found so. When a
+round finds no link any more, the items that still share a key over components meet in pairs.
+
+An item without a partner has no row in the result; empty postings give an empty one.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 from ..sources.stages import settle
 from .components import components
 
+HOT = 16  # items of a key from which on pairs are told apart by all hot keys they share
+ROUNDS = 12  # only shapes the work: what rounds leave over meets in pairs
 
-HOT = 64  # items of a key from which on pairs are told apart by all hot keys they share
+PARTS = ("item", "size", "most", "head")
 
 
 def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column]) -> DataFrame:
@@ -29,34 +35,58 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may:
     ``may(x, y)``: whether the items whose columns start with ``x`` and ``y`` can be linked at all;
     ``verify``: the linked ones among distinct pairs (a, b).
     """
-    near = postings
 
     def meet(x: str, y: str) -> Column:
         first = F.struct(f"{x}size", f"{x}item") < F.struct(f"{y}size", f"{y}item")
         return may(x, y) & F.when(first, F.col(f"{x}head")).otherwise(F.col(f"{y}head"))
 
-    # The leader is the item with the least that is its own: the nearest to what the others share.
-    own = 1 - F.col("most") / F.col("size")
-    lead = near.groupBy("key").agg(F.min(F.struct(F.round(own, 6), F.xxhash64("item"), "item", "size", "most", "head")).alias("lead"))
-    lead = lead.select("key", *(F.col(f"lead.{c}").alias(f"other_{c}") for c in ("item", "size", "most", "head")))
-    first = near.join(lead, "key").filter("item <> other_item").filter(meet("", "other_"))
-    tried = settle(_pairs(first), "pairs")
-    links = settle(verify(tried), "links")
-    labels = settle(components(links), "labels")
-
-    marked = near.join(labels.withColumnRenamed("node", "item"), "item", "left")
-    marked = marked.withColumn("label", F.coalesce("label", "item"))
-    spans = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-    marked = settle(marked.join(spans.filter("lo < hi and m > 2").select("key"), "key", "left_semi"), "open")
-    main = lead.join(marked.select("key", F.col("item").alias("other_item"), F.col("label").alias("main")), ["key", "other_item"])
-    rest = marked.join(main.select("key", "main"), "key").filter("label <> main")
-    rest = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("item", "size", "most", "head", "label")))
+    labels = settle(postings.select(F.col("item").alias("node"), F.col("item").alias("label")).distinct(), "labels")
+    rows, tried = postings.withColumn("label", F.col("item")), None
+    for number in range(ROUNDS):
+        # The first leader is the item with the least that is its own, later ones go by hash.
+        own = F.round(1 - F.col("most") / F.col("size"), 6) if number == 0 else F.lit(0.0)
+        rank = F.struct(own, F.xxhash64("item", F.lit(number)), *PARTS, "label")
+        lead = rows.groupBy("key").agg(F.min(rank).alias("lead"))
+        lead = lead.select("key", *(F.col(f"lead.{c}").alias(f"other_{c}") for c in (*PARTS, "label")))
+        asked = rows.join(lead, "key").filter("label <> other_label").filter(meet("", "other_"))
+        votes = asked.groupBy("item", "other_item").agg(F.count(F.lit(1)).alias("n"))
+        chosen = votes.groupBy("item").agg(F.max(F.struct("n", F.xxhash64("item", "other_item"), "other_item")).alias("m"))
+        pairs = _pairs(chosen.select("item", F.col("m.other_item").alias("other_item")))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = settle(verify(pairs), "links")
+        if links.isEmpty():
+            break
+        labels = settle(_joined(labels, links), "labels")
+        # Keys whose items are all in one component are done.
+        named = rows.drop("label").join(labels.select(F.col("node").alias("item"), "label"), "item")
+        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        rows = settle(named.join(open_, "key"), "open")
+    return _met_in_pairs(rows, labels, tried, verify, meet)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links, which are followed between components only."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    edges = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(edges).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
+def _met_in_pairs(marked: DataFrame, labels: DataFrame, tried: DataFrame, verify, meet) -> DataFrame:
+    """All items of a key outside the component of one of them with the others of the key."""
+    one = F.min(F.struct(F.xxhash64("item"), "label"))["label"]
+    spans = marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), one.alias("main"))
+    marked = settle(marked.join(spans, "key"), "open")
+    names = (*PARTS, "label")
+    rest = marked.filter("label <> main").select("key", "m", *(F.col(c).alias(f"other_{c}") for c in names))
+
     # Items that share many hot keys meet at the least of these only.
-    hot = marked.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= HOT).select("key")
-    hot = settle(hot, "hot")
-    lists = marked.join(hot, "key", "left_semi").groupBy("item").agg(
-        F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("head"), F.col("key"))).alias("heads")
-    )
+    hot = marked.filter(F.col("m") >= HOT)
+    lists = hot.groupBy("item").agg(F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("head"), F.col("key"))).alias("heads"))
     lists = settle(lists, "hot-keys")
     other_lists = lists.select(*(F.col(c).alias(f"other_{c}") for c in lists.columns))
 
@@ -66,16 +96,19 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may:
 
     first = F.struct("size", "item") < F.struct("other_size", "other_item")
     common = F.when(first, F.array_intersect("heads", "other_all")).otherwise(F.array_intersect("other_heads", "all"))
-    second = cross(rest.join(hot, "key", "left_anti"), marked.join(hot, "key", "left_anti")).unionByName(
+    few = marked.filter(F.col("m") < HOT).drop("m", "main")
+    met = cross(rest.filter(F.col("m") < HOT).drop("m"), few).unionByName(
         cross(
-            rest.join(hot, "key", "left_semi").join(other_lists, "other_item"),
-            marked.join(hot, "key", "left_semi").join(lists, "item"),
+            rest.filter(F.col("m") >= HOT).drop("m").join(other_lists, "other_item"),
+            hot.drop("m", "main").join(lists, "item"),
             F.col("key") == F.array_min(common),
         )
     )
-    open_ = settle(_pairs(second).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = settle(verify(open_), "links")
-    return components(links.unionByName(more))
+    pairs = settle(_pairs(met).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = settle(verify(pairs), "links")
+    found = labels if links.isEmpty() else _joined(labels, links)
+    several = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+    return found.join(several, "label", "left_semi").select("node", "label")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
