@@ -14,6 +14,7 @@ and summed per pair, which gives the exact intersection.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ PERCENT = 75
 FRAGMENTS = 8  # of the n-grams that are not frequent; the frequent ones are a fragment of their own
 FREQUENT = 4  # times in the texts that a task counts together
 MAX_FREQUENT = 200_000  # n-grams ordered by count: shapes the order, never the result
+KEY_BYTES = 64  # of a key in a broadcast
+SENT_BYTES = 32 << 20  # keys up to this size are sent to texts and sets, more meet them in a shuffle
 
 
 def _signature(h: np.ndarray) -> int:
@@ -49,15 +52,19 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list, list[np.nda
 
 
 def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (id, n, class) of all documents and rows (gram, times) of n-grams that a task met often."""
-    schema = "id long, n long, class long, gram long, times long"
+    """Rows (id, n, class, row) of all documents and rows (gram, times) of n-grams that a task met often."""
+    schema = "id long, n long, class long, gram long, times long, row binary"
 
-    def rows(ids, n, cls, gram, times) -> pa.RecordBatch:
+    def rows(ids, n, cls, gram, times, keys=()) -> pa.RecordBatch:
         left, right = len(ids), len(gram)
         pad = lambda v, before, after: pa.array([None] * before + list(v) + [None] * after, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pad(ids, 0, right), pad(n, 0, right), pad(cls, 0, right), pad(gram, left, 0), pad(times, left, 0)],
-            names=["id", "n", "class", "gram", "times"],
+            [
+                *(pad(c, 0, right) for c in (ids, n, cls)),
+                *(pad(c, left, 0) for c in (gram, times)),
+                pa.array([*keys, *[None] * right], pa.binary()),
+            ],
+            names=["id", "n", "class", "gram", "times", "row"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +76,10 @@ def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             return gram[often].astype(np.int64).tolist(), times[often].tolist()
 
         for batch in batches:
+            at = 0
             for ids, sets in _sets(batch, width):
+                keys = batch.column(2).slice(at, len(ids)).to_pylist()
+                at += len(ids)
                 cls = [_signature(h) if len(h) else None for h in sets]
                 for h, c in zip(sets, cls, strict=True):
                     if c is not None and c not in seen:
@@ -79,7 +89,7 @@ def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 gram, times = [], []
                 if size > 2_000_000:
                     (gram, times), held, size, seen = frequent(), [], 0, set()
-                yield rows(ids, [len(h) for h in sets], cls, gram, times)
+                yield rows(ids, [len(h) for h in sets], cls, gram, times, keys)
         if held:
             yield rows([], [], [], *frequent())
 
@@ -198,16 +208,43 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable over links, of every document."""
+    return components_of(documents, id, text, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(id: str = "doc_id", text: str = "text") -> Column:
+    """16 bytes that rows share only if id and text are equal."""
+    known = F.concat_ws("|", F.coalesce(F.col(id).cast("string"), F.lit("")), F.col(text).isNull().cast("string"), F.col(text))
+    return F.unhex(F.md5(known.cast("binary")))
+
+
+def representatives(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group of linked ones, with all its columns: that with the smallest id.
+
+    Of rows that are alike in id and group the one with the smallest key stays, of rows equal in id
+    and text that with the smallest other columns. Documents without words are groups of their own
+    unless id and text are equal; rows without an id all stay.
+    """
+    found = components_of(documents, id, text, **options).filter("doc_id = component_id")
+    alike = F.coalesce(F.col("label").cast("string").cast("binary"), F.concat(F.lit(b"row"), "row"))
+    chosen = found.groupBy(alike.alias("group")).agg(F.min("row").alias("row")).select("row")
+    # Each text moves once, by its key; its columns travel as one value and clash with none.
+    named = documents.filter(F.col(id).isNotNull()).select(row_key(id, text).alias("row"), F.struct("*").alias("doc"))
+    once = named.join(chosen, "row", "left_semi").groupBy("row").agg(F.min("doc").alias("doc")).select("doc.*")
+    return once.unionByName(documents.filter(F.col(id).isNull()))
+
+
+def components_of(documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """As ``group``, with ``row``, the key of a row, and ``label``, the same for rows of one component (null: no words)."""
     spark = documents.sparkSession
-    read = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    read = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), row_key(id, text).alias("row"))
     surveyed = settle(survey(read, width), "survey")
-    rows = surveyed.filter("n is not null").select("id", "n", "class")
+    rows = surveyed.filter("n is not null").select("id", "n", "class", "row")
     often = surveyed.filter("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
     often = often.orderBy(F.desc("times"), "gram").limit(MAX_FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(Order(often["gram"].tolist(), often["times"].tolist()))
 
     # A key of one class leads nowhere. Frequent keys skip the window: one of them may hold a third of all rows.
-    named = read.filter("id is not null")
+    named = read.filter("id is not null").select("id", "text")
     first = prefixes(named, order, width, percent)
     both = Window.partitionBy("key")
     rare = first.filter("not frequent").select("key", "item", "head", F.min("item").over(both).alias("lo"), F.max("item").over(both).alias("hi"))
@@ -222,13 +259,30 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
     most = F.expr(f"kept - 1 + ceil({percent} * size / 100)").cast("long")
     near = near.withColumn("kept", kept).join(sizes, "item").withColumn("most", most).drop("kept")
     postings = settle(near, "postings")
-    wanted = settle(postings.select(F.col("item").alias("class"), F.col("size").alias("n")).distinct(), "wanted")
-    sets = segments(named, order, width).join(wanted, "class", "left_semi").dropDuplicates(["class", "fragment"])
-    sets = settle(sets, "sets")
+    sized = settle(postings.select(F.col("item").alias("class"), F.col("size").alias("n")).distinct(), "sizes")
+    # A row of every class, by whose key its text is found again.
+    places = settle(rows.filter("class is not null and id is not null").groupBy("class").agg(F.min("row").alias("row")), "places")
+    made: list[DataFrame] = []
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of the classes in pairs: made when a class is first asked for, and kept."""
+        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        asked = settle(asked, "asked")
+        new = asked
+        for known in made:
+            new = new.join(known.select("class").distinct(), "class", "left_anti")
+        new = settle(new.join(places, "class"), "places").select("row")
+        if not made or not new.isEmpty():
+            texts = read.filter("id is not null").join(sent(new), "row", "left_semi").select("id", "text")
+            made.append(settle(segments(texts, order, width).dropDuplicates(["class", "fragment"]), "sets"))
+        return reduce(DataFrame.unionByName, made).join(sent(asked), "class", "left_semi")
+
+    def sent(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() * KEY_BYTES <= SENT_BYTES else keys
 
     def verify(pairs: DataFrame) -> DataFrame:
-        n = lambda side: wanted.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"))
-        counted = overlaps(pairs, sets).join(n("a"), "a").join(n("b"), "b")
+        n = lambda side: sized.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"))
+        counted = overlaps(pairs, sets_of(pairs)).join(n("a"), "a").join(n("b"), "b")
         return counted.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
     def may(x: str, y: str) -> Column:
@@ -245,4 +299,4 @@ def group(documents: DataFrame, id: str = "doc_id", text: str = "text", width: i
     least = known.filter("class is not null and id is not null").groupBy("label").agg(F.min("id").alias("least"))
     found = known.join(least, "label", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("least", "id"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "row", "label")
