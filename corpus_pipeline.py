@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five stages, each written and read again."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
+
+Every stage keeps the columns of the documents, whatever their names, and the last returns pieces of
+sequences. Null and empty texts, repeated rows and ids, ties and empty tables have the results that
+the operators state: a null or empty text is graded by the thresholds alone, is near to no other, has
+no personal data and no words to mix; rows without an id are all kept by the second stage; of rows
+equal in id and text one stays.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +21,13 @@ from dossier.sources.stages import shared_dir
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of a good grade is high enough; without ratings all of them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return queries.graded(docs, labels).filter("kept").select(*docs.columns)
+    free = next(n for n in (f"judged{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return queries.graded(docs, labels, into=free).filter(F.col(free)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents; rows without an id stay."""
-    kept = ngram_join.group(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return ngram_join.representatives(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
