@@ -21,19 +21,25 @@ from pyspark.sql import functions as F
 from ..sources.stages import settle
 from .components import components
 
-HOT = 16  # items of a key from which on pairs are told apart by all hot keys they share
 ROUNDS = 12  # only shapes the work: what rounds leave over meets in pairs
 
 PARTS = ("item", "size", "most", "head")
 
 
-def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column]) -> DataFrame:
+def connect(
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    may: Callable[[str, str], Column],
+    marks: DataFrame | None = None,
+    alike: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """``node`` and ``label`` of every item linked with another one; ``postings`` has distinct rows of a written table.
 
     ``postings``: (key, item, size, most, head), ``most`` being the largest part of the item that
     another one of at most its size can share; a key joins two items only if it is a ``head`` key of the smaller one.
     ``may(x, y)``: whether the items whose columns start with ``x`` and ``y`` can be linked at all;
-    ``verify``: the linked ones among distinct pairs (a, b).
+    ``verify``: the linked ones among distinct pairs (a, b). ``marks`` (item, mark) and ``alike``, which
+    reads the columns ``size`` and ``mark``, rule out more pairs where all items of a key meet.
     """
 
     def meet(x: str, y: str) -> Column:
@@ -64,7 +70,7 @@ def connect(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may:
         named = rows.drop("label").join(labels.select(F.col("node").alias("item"), "label"), "item")
         open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
         rows = settle(named.join(open_, "key"), "open")
-    return _met_in_pairs(rows, labels, tried, verify, meet)
+    return _met_in_pairs(rows, labels, tried, verify, meet, marks, alike)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -76,34 +82,18 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
-def _met_in_pairs(marked: DataFrame, labels: DataFrame, tried: DataFrame, verify, meet) -> DataFrame:
+def _met_in_pairs(rows: DataFrame, labels: DataFrame, tried: DataFrame, verify, meet, marks, alike) -> DataFrame:
     """All items of a key outside the component of one of them with the others of the key."""
+    names = [*PARTS, "label"]
+    if marks is not None:
+        rows, names = settle(rows.join(marks, "item"), "marked"), [*names, "mark"]
     one = F.min(F.struct(F.xxhash64("item"), "label"))["label"]
-    spans = marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), one.alias("main"))
-    marked = settle(marked.join(spans, "key"), "open")
-    names = (*PARTS, "label")
-    rest = marked.filter("label <> main").select("key", "m", *(F.col(c).alias(f"other_{c}") for c in names))
-
-    # Items that share many hot keys meet at the least of these only.
-    hot = marked.filter(F.col("m") >= HOT)
-    lists = hot.groupBy("item").agg(F.collect_list("key").alias("all"), F.collect_list(F.when(F.col("head"), F.col("key"))).alias("heads"))
-    lists = settle(lists, "hot-keys")
-    other_lists = lists.select(*(F.col(c).alias(f"other_{c}") for c in lists.columns))
-
-    def cross(rest: DataFrame, marked: DataFrame, once: Column | None = None) -> DataFrame:
-        joined = rest.join(marked, "key").filter("label <> other_label").filter(meet("", "other_"))
-        return (joined if once is None else joined.filter(once)).select("item", "other_item")
-
-    first = F.struct("size", "item") < F.struct("other_size", "other_item")
-    common = F.when(first, F.array_intersect("heads", "other_all")).otherwise(F.array_intersect("other_heads", "all"))
-    few = marked.filter(F.col("m") < HOT).drop("m", "main")
-    met = cross(rest.filter(F.col("m") < HOT).drop("m"), few).unionByName(
-        cross(
-            rest.filter(F.col("m") >= HOT).drop("m").join(other_lists, "other_item"),
-            hot.drop("m", "main").join(lists, "item"),
-            F.col("key") == F.array_min(common),
-        )
-    )
+    main = rows.groupBy("key").agg(one.alias("main"))
+    rest = rows.join(main, "key").filter("label <> main").select("key", *(F.col(c).alias(f"other_{c}") for c in names))
+    wanted = (F.col("label") != F.col("other_label")) & meet("", "other_")
+    if marks is not None:
+        wanted &= alike("", "other_")
+    met = rest.join(rows, "key").filter(wanted).select("item", "other_item")
     pairs = settle(_pairs(met).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = settle(verify(pairs), "links")
     found = labels if links.isEmpty() else _joined(labels, links)

@@ -32,6 +32,7 @@ FRAGMENTS = 8  # of the n-grams that are not frequent; the frequent ones are a f
 FREQUENT = 4  # times in the texts that a task counts together
 MAX_FREQUENT = 200_000  # n-grams ordered by count: shapes the order, never the result
 KEY_BYTES = 64  # of a key in a broadcast
+BITS = 1024  # of a sketch; 128 bytes per document
 SENT_BYTES = 32 << 20  # keys up to this size are sent to texts and sets, more meet them in a shuffle
 
 
@@ -51,11 +52,23 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list, list[np.nda
         yield ids[a:b], [h[cuts[i] : cuts[i + 1]] for i in range(b - a)]
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity of the n-grams of every set in ``BITS`` places: two sets differ in at least as many n-grams as bits."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    for a in range(0, len(sets), 256):
+        part = sets[a : a + 256]
+        place = (mix(np.concatenate(part) ^ np.uint64(0x6A09E667)) & np.uint64(BITS - 1)).astype(np.int64)
+        row = np.repeat(np.arange(len(part)), [len(h) for h in part])
+        odd = np.bincount(row * BITS + place, minlength=len(part) * BITS).reshape(len(part), BITS) & 1
+        out[a : a + 256] = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+    return out
+
+
 def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (id, n, class, row) of all documents and rows (gram, times) of n-grams that a task met often."""
-    schema = "id long, n long, class long, gram long, times long, row binary"
+    """Rows (id, n, class, row, mark) of all documents and rows (gram, times) of n-grams that a task met often."""
+    schema = "id long, n long, class long, gram long, times long, row binary, mark array<long>"
 
-    def rows(ids, n, cls, gram, times, keys=()) -> pa.RecordBatch:
+    def rows(ids, n, cls, gram, times, keys=(), marks=()) -> pa.RecordBatch:
         left, right = len(ids), len(gram)
         pad = lambda v, before, after: pa.array([None] * before + list(v) + [None] * after, pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -63,8 +76,9 @@ def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 *(pad(c, 0, right) for c in (ids, n, cls)),
                 *(pad(c, left, 0) for c in (gram, times)),
                 pa.array([*keys, *[None] * right], pa.binary()),
+                pa.array([*marks, *[None] * right], pa.list_(pa.int64())),
             ],
-            names=["id", "n", "class", "gram", "times", "row"],
+            names=["id", "n", "class", "gram", "times", "row", "mark"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +103,7 @@ def survey(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                 gram, times = [], []
                 if size > 2_000_000:
                     (gram, times), held, size, seen = frequent(), [], 0, set()
-                yield rows(ids, [len(h) for h in sets], cls, gram, times, keys)
+                yield rows(ids, [len(h) for h in sets], cls, gram, times, keys, list(sketches(sets).view(np.int64)))
         if held:
             yield rows([], [], [], *frequent())
 
@@ -280,7 +294,21 @@ def components_of(documents: DataFrame, id: str = "doc_id", text: str = "text",
     def sent(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() * KEY_BYTES <= SENT_BYTES else keys
 
+    # Sketches rule out pairs that merely share a passage, before any set is made or moved.
+    marks = surveyed.filter("class is not null and id is not null").groupBy(F.col("class").alias("item")).agg(F.first("mark").alias("mark"))
+    marks = settle(marks, "marks")
+
+    def alike(x: str, y: str) -> Column:
+        bits = sum((F.bit_count(F.col(f"{x}mark")[i].bitwiseXOR(F.col(f"{y}mark")[i])) for i in range(BITS // 64)), F.lit(0))
+        return (100 + percent) * bits <= (100 - percent) * (F.col(f"{x}size") + F.col(f"{y}size"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        known = marks.join(sized.withColumnRenamed("class", "item"), "item")
+        one, two = (known.select(F.col("item").alias(s), F.col("mark").alias(f"{s}_mark"), F.col("n").alias(f"{s}_size")) for s in ("a", "b"))
+        return settle(pairs.join(one, "a").join(two, "b").filter(alike("a_", "b_")).select("a", "b"), "likely")
+
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = likely(pairs)
         n = lambda side: sized.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"))
         counted = overlaps(pairs, sets_of(pairs)).join(n("a"), "a").join(n("b"), "b")
         return counted.filter(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
@@ -291,7 +319,7 @@ def components_of(documents: DataFrame, id: str = "doc_id", text: str = "text",
         kept = F.least(*(F.col(f"{s}most") - behind(F.col(f"{s}size")) for s in (x, y)))
         return (100 * small >= percent * large) & ((100 + percent) * (kept + behind(large)) >= percent * (small + large))
 
-    labels = linking.connect(postings, verify, may)
+    labels = linking.connect(postings, verify, may, marks, alike)
 
     # Classes that have no link are their own component; its id is the smallest id in it.
     known = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
