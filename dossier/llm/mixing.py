@@ -189,12 +189,16 @@ def _slots(dealt: DataFrame, known: DataFrame, block_words: int, seed: int) -> D
         key = source.to_numpy() * 1_000_003 + seed
         return pd.Series(permute(slot.to_numpy() % n.to_numpy(), n.to_numpy(), key))
 
-    # Whole rounds take every block in permuted order. The last round takes blocks 0, 1, ... of the
-    # shuffled stream as far as the target goes, so that its words are exact.
+    # Whole rounds take every block in permuted order. The last round permutes the blocks that are
+    # full and takes as many as the target goes, the very last one in part, so that words are exact;
+    # the short block at the end of the stream comes after all of them.
     whole = F.floor(F.col("slot") / F.col("n_blocks")) < F.col("rounds")
-    each = each.join(_rounds(known), "source_no")
-    block = F.when(whole, block_of("slot", "n_blocks", "source_no")).otherwise(F.col("slot") % F.col("n_blocks"))
-    take = F.when(whole, F.lit(block_words)).otherwise(F.col("rest") - F.col("slot") % F.col("n_blocks") * block_words)
+    full = F.floor(F.col("source_size") / block_words)
+    each = each.join(_rounds(known), "source_no").withColumn("number", F.col("slot") % F.col("n_blocks"))
+    dealt_of = F.when(whole, F.col("n_blocks")).otherwise(F.greatest(full, F.lit(1)))
+    drawn = whole | (F.col("number") < full)
+    block = F.when(drawn, block_of("number", dealt_of, "source_no")).otherwise(F.col("number"))
+    take = F.when(whole, F.lit(block_words)).otherwise(F.col("rest") - F.col("number") * block_words)
     return each.select(
         "shard", "source_no", "slot", block.alias("block"), F.least(take, F.lit(block_words)).cast("long").alias("block_take")
     )
@@ -216,7 +220,7 @@ def _placed(rows: DataFrame, known: DataFrame) -> DataFrame:
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before"))
     inside = (
         Window.partitionBy("source_no", "bucket")
-        .orderBy("place", "doc_id", "size")
+        .orderBy("place", "doc_id", "size", "row_key")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -255,8 +259,10 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def taken(mixed: Mix) -> DataFrame:
-    """Words that the mix takes of every document, repeats counted."""
-    sums = mixed.pieces.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
+    """Words that the mix takes of every document, repeats counted, and the ``shards`` they go to."""
+    sums = mixed.pieces.groupBy("source_no", "start").agg(
+        F.sum("words").alias("taken"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards")
+    )
     rows = mixed.documents
     # A document without words shares its start with its successor, and takes nothing.
     return rows.join(sums, ["source_no", "start"], "left").select(
@@ -265,6 +271,7 @@ def taken(mixed: Mix) -> DataFrame:
         "source_size",
         "target",
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        F.when(F.col("size") > 0, F.coalesce("shards", F.lit(""))).otherwise("").alias("shards"),
     )
 
 

@@ -154,3 +154,16 @@ def test_the_bound_on_rated_documents_bounds_rows(spark, monkeypatch):
     once = ordinal.train(docs.withColumn("text", F.concat("text", F.lit(" 1"))), docs.select("doc_id", "grade"))
     many = ordinal.train(repeated, docs.select("doc_id", "grade"))
     assert np.allclose(once.weights, many.weights) and np.allclose(once.thresholds, many.thresholds)
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    for n in (0, 1, 5, 90, 700, 2500):
+        for share in (0.0, 0.3, 0.8, 1.0):
+            k = int(n * share)
+            x = np.unique(np.r_[common[:k], rng.integers(0, 1 << 62, n - k).astype(np.uint64)])
+            y = np.unique(np.r_[common[:k], rng.integers(0, 1 << 62, (n - k) // 2).astype(np.uint64)])
+            a, b = ngram_join.sketches([x, y] if n else [x[:0], y[:0]])
+            bits = sum(int(v).bit_count() for v in a ^ b)
+            assert bits <= len(np.setxor1d(x, y))
