@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.stages import settle
 from .components import components
 
-ROUNDS = 12  # only shapes the work: what rounds leave over meets in pairs
+ROUNDS = 4  # only shapes the work: what rounds leave over meets in pairs
 
 PARTS = ("item", "size", "most", "head")
 
