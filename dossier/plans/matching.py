@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..functions.titles import comparison_key, standardize
 from ..functions.vectors import to_percent
 from ..operators.collapse import folder_summary, keep_best_titles, overall_summary, query_summary
 from ..operators.embedding import DIMENSION, Encoder, embed
@@ -29,6 +28,7 @@ from ..operators.tfidf import (
     vectorize,
     weight_text,
 )
+from ..operators.titles import title_forms, with_title_forms
 from ..sources.documents import SCANNED_TYPES, extract_text, scan_documents
 from ..sources.sinks import write_json, write_table
 from ..sources.stages import StageGraph, input_fingerprint, materialize, settle
@@ -80,15 +80,15 @@ class MatchIndex:
         return embed(weighted, "_weighted", "embedding", self.load_encoder, self.dim).drop("_weighted")
 
 
-def with_title_keys(corpus: DataFrame, fix_quirks: bool = False) -> DataFrame:
+def with_title_keys(corpus: DataFrame, fix_quirks: bool = False, once: bool = False) -> DataFrame:
     """Add the displayed title (two more passes of the rules) and its comparison key.
 
-    Done once per corpus row, not once per candidate of every query.
+    Done once per corpus row, not once per candidate of every query; with ``once`` per different
+    title, for a corpus that repeats its titles.
     """
     if "title" not in corpus.columns:
         return corpus
-    shown = corpus.withColumn("shown_title", standardize("title", 2, fix_quirks))
-    return shown.withColumn("title_key", comparison_key("shown_title", fix_quirks))
+    return with_title_forms(corpus, fix_quirks) if once else title_forms(corpus, fix_quirks)
 
 
 def build_index(
@@ -103,6 +103,7 @@ def build_index(
     encoder: str | None = None,
     grows: bool = False,
     encodings: str | None = None,
+    repeated_titles: bool = False,
     **fit_options,
 ) -> MatchIndex:
     """Fit the vocabulary, encode the corpus and write it: every match reads it several times.
@@ -112,7 +113,7 @@ def build_index(
     of the caller's must then have a name (``encoder``, or that entry of ``config``). With ``grows``
     term counts are kept per corpus file, so that new files add their counts to those of the others;
     the corpus must then be a scan of files. ``encodings`` names a store of encoded texts, from which
-    known texts are taken. Without ``path`` the index lives in the shared folder.
+    known texts are taken. ``repeated_titles`` applies the title rules once per different title. Without ``path`` the index lives in the shared folder.
     """
     name = encoder or (config or {}).get("encoder")
     if load_encoder and not sparse and (path or encodings) and not name:
@@ -125,7 +126,7 @@ def build_index(
     index = MatchIndex(corpus, model, load_encoder, dim, sparse, corpus_id, store)
 
     def encoded() -> DataFrame:
-        return with_title_keys(index.with_vectors(corpus, "embedding_text", corpus_id), fix_quirks)
+        return with_title_keys(index.with_vectors(corpus, "embedding_text", corpus_id), fix_quirks, repeated_titles)
 
     if path is None:
         index.corpus = settle(encoded(), "index")

@@ -642,6 +642,14 @@ def oracle_sql() -> dict[str, str]:
         "comparison_key": with_views(
             f"SELECT person_id, title, title_key FROM ({comparison_keys('SELECT * FROM titles', 'title', 'title_key')})", "titles"
         ),
+        "title_forms": with_views(
+            f"""WITH several AS MATERIALIZED (SELECT title, title AS raw FROM experience GROUP BY title),
+                once AS MATERIALIZED ({standardized("several", "title")}),
+                twice AS MATERIALIZED ({standardized("once", "title")}),
+                keyed AS MATERIALIZED ({comparison_keys("SELECT * FROM twice", "title", "title_key")})
+                SELECT person_id, ord, keyed.title AS shown_title, title_key FROM experience JOIN keyed ON experience.title = raw""",
+            "experience",
+        ),
         "filter_ids": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 54928",
         "concat_by_key": with_views(
             f"""SELECT person_id, title, skill FROM ({concatenated("experience", "title", "title")})

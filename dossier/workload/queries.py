@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, titles, vectors
 from ..operators import collapse, corpus, embedding, linking, numbering, ranking, similarity, tfidf
+from ..operators import titles as title_rules
 from ..operators.encoding_store import EncodingStore
 from ..plans import corpus_build, evaluation, matching
 from ..sources import documents, profiles, sinks, stages
@@ -191,6 +192,12 @@ def comparison_key(spark, d):
 # ---- corpus
 
 
+@query
+def title_forms(spark, d):
+    """Displayed title and comparison key of every experience row, by a dictionary of the different titles."""
+    return title_rules.with_title_forms(view(spark, d, "experience")).drop("title")
+
+
 def _profiles(spark, d) -> dict[str, DataFrame]:
     return {n: view(spark, d, n) for n in ("people", "abilities", "education", "experience", "person_skills")}
 

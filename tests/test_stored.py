@@ -390,3 +390,17 @@ def test_evaluation_is_written(spark, tmp_path):
     assert read.count() == done.averages.count() and {r["threshold"] for r in read.collect()} == {done.threshold}
     for name in ("judgments", "results", "scores"):
         assert spark.read.option("header", True).csv(f"{out}/{name}").count() == getattr(done, name).count()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_title_forms_by_dictionary(spark, held):
+    from dossier.operators import titles
+
+    texts = ["Senior Dev", "Dev", "Dev", None, "", "UI/UX Designer"] * 40 + [f"Lead {i} (Remote)" for i in range(2000)]
+    frame = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], "id int, title string, n string")
+    got = titles.with_title_forms(frame, held_bytes=held)
+    want = titles.title_forms(frame)
+    assert got.columns == want.columns == ["id", "title", "n", "shown_title", "title_key"]
+    assert rows(got) == rows(want)
+    assert titles.title_dictionary(frame).count() == 2004
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
