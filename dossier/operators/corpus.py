@@ -106,7 +106,8 @@ def drop_content_duplicates(
     """Keep the first row (by ``ord``) of equal content; nulls are equal to nulls.
 
     A hash aggregation on the content itself: copies fold on the map side, so a text that makes up
-    a third of all rows costs one row per task in the shuffle. ``n_copies`` counts the group.
+    a third of all rows costs one row per task in the shuffle. ``n_copies`` counts the group. ``ord``
+    must be unique: of equal ones any row may stay.
     """
     content = [c for c in (columns or df.columns) if c not in (key, ord)]
     first = df.groupBy(*content).agg(
