@@ -24,6 +24,12 @@ WIDE_SHARE = 1 / 64
 CLUSTERED_ROWS = 256
 ROOM = 1e-8
 
+# Rows of a held corpus that meet a block of queries at once.
+PIECE_ROWS = 8192
+
+# Groups of so many columns are looked through as slices of rows.
+LARGE_GROUP = 64
+
 # Above this share of a list's cells that can matter, a matrix product is faster than single cells.
 CELL_SHARE = 1 / 32
 
@@ -211,6 +217,12 @@ def candidates(scores: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray,
     return r, c, scores[r, c]
 
 
+def group_starts(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where the groups begin in an order of the columns by group."""
+    sorted_codes = codes[order]
+    return np.flatnonzero(np.r_[len(order) > 0, sorted_codes[1:] != sorted_codes[:-1]])
+
+
 def group_candidates(
     scores: np.ndarray, k: int, positive: bool, codes: np.ndarray, order: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,19 +232,44 @@ def group_candidates(
     """
     if not scores.shape[1]:
         return candidates(scores, k, positive)
-    sorted_codes = codes[order]
-    first = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
-    size = np.diff(np.r_[first, len(order)])
+    first = group_starts(codes, order)
     by_group = scores[:, order]
     r, g, score = candidates(np.maximum.reduceat(by_group, first, axis=1), k, positive)
-    # All columns of the chosen groups, then the first of each that has the group's score.
+    at, hit = first_of_group(by_group, first, r, g, score)
+    return r[hit], order[at], score[hit]
+
+
+def first_of_group(
+    by_group: np.ndarray, first: np.ndarray, r: np.ndarray, g: np.ndarray, score: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The first column of each chosen group that has the group's score, and which choice it is for."""
+    size = np.diff(np.r_[first, by_group.shape[1]])
     n = size[g]
-    left = np.cumsum(n) - n
-    pair = np.repeat(np.arange(len(g)), n)
-    at = first[g][pair] + np.arange(len(pair)) - left[pair]
-    hit = np.flatnonzero(by_group[r[pair], at] == score[pair])
-    best = hit[np.r_[True, pair[hit][1:] != pair[hit][:-1]]] if len(hit) else hit
-    return r, order[at[best]], score
+    ats, hits = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+    def note(at: np.ndarray, choice: np.ndarray) -> None:
+        hit = np.flatnonzero(np.round(by_group[r[choice], at], SCORE_DIGITS) == score[choice])
+        hit = hit[np.r_[True, choice[hit][1:] != choice[hit][:-1]]] if len(hit) else hit
+        ats.append(at[hit])
+        hits.append(choice[hit])
+
+    # Large groups one by one, as slices of rows; small ones cell by cell, as many as have CELLS columns.
+    large = n >= LARGE_GROUP
+    for j in np.unique(g[large]):
+        choices = np.flatnonzero(g == j)
+        inside = by_group[r[choices], first[j] : first[j] + size[j]]
+        cells = np.flatnonzero(inside >= score[choices][:, None] - ROOM)
+        note(first[j] + cells % size[j], choices[cells // size[j]])
+    small = np.flatnonzero(~large)
+    cost = np.cumsum(n[small])
+    start = 0
+    while start < len(small):
+        stop = max(start + 1, int(np.searchsorted(cost, cost[start] - n[small[start]] + CELLS, side="right")))
+        part = small[start:stop]
+        left = np.cumsum(n[part]) - n[part]
+        note(np.repeat(first[g[part]] - left, n[part]) + np.arange(n[part].sum()), np.repeat(part, n[part]))
+        start = stop
+    return np.concatenate(ats), np.concatenate(hits)
 
 
 def k_best(found: pd.DataFrame, k: int, distinct: bool = False) -> pd.DataFrame:
@@ -277,14 +314,137 @@ def cluster(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return order, first, centres, np.sqrt(np.maximum.reduceat((away * away).sum(axis=1), first))
 
 
-def floors(best: pd.DataFrame | None, n: int, k: int) -> np.ndarray:
-    """Score of the k-th best row of every query so far."""
-    out = np.full(n, -np.inf)
-    if best is not None and len(best):
-        last = best.groupby("query", sort=False)["score"].agg(["size", "min"])
-        full = last[last["size"] >= k]
-        out[full.index.to_numpy(dtype=np.int64)] = full["min"].to_numpy()
-    return out
+class Lists:
+    """The k best rows of every held query so far, as arrays of a row per query, best first.
+
+    New rows are merged into the lists they concern; the others are not touched.
+    """
+
+    def __init__(self, n: int, k: int, distinct: bool = False):
+        self.k, self.distinct = k, distinct
+        self.scores = np.full((n, k), -np.inf)
+        self.ids: np.ndarray | None = None
+        self.groups: np.ndarray | None = None
+
+    @property
+    def floor(self) -> np.ndarray:
+        """Score of the k-th best row of every query, minus infinity while there are fewer."""
+        return self.scores[:, -1]
+
+    def add(self, query: np.ndarray, id: np.ndarray, score: np.ndarray, group: np.ndarray | None = None) -> None:
+        if not len(query):
+            return
+        if self.ids is None:
+            self.ids = np.empty(self.scores.shape, dtype=id.dtype)
+            self.groups = None if group is None else np.empty(self.scores.shape, dtype=object)
+        elif id.dtype != self.ids.dtype:  # null ids in some of the blocks
+            self.ids = self.ids.astype(np.result_type(id.dtype, self.ids.dtype))
+        # Rows behind the last one of a full list cannot enter it.
+        keep = score >= self.floor[query]
+        if id.dtype != object:
+            tie = np.flatnonzero(score == self.floor[query])
+            keep[tie] = ~(id[tie] >= self.ids[query[tie], -1])
+        query, id, score = query[keep], id[keep], score[keep]
+        group = None if group is None else group[keep]
+        if not len(query):
+            return
+        touched, row = np.unique(query, return_inverse=True)
+        r, c = np.nonzero(self.scores[touched] > -np.inf)
+        old = touched[r], c
+        row = np.concatenate([r, row])
+        score = np.concatenate([self.scores[old], score])
+        id = np.concatenate([self.ids[old], id])
+        if id.dtype == object:  # may hold nulls
+            frame = pd.DataFrame({"row": row, "score": -score, "id": pd.Series(id, dtype=object)})
+            order = frame.sort_values(["row", "score", "id"], kind="stable").index.to_numpy()
+        else:
+            order = np.lexsort((id, -score, row))
+        if group is not None:
+            group = np.concatenate([self.groups[old], group])
+            if self.distinct:
+                named = pd.DataFrame({"row": row[order], "group": pd.Series(group[order], dtype=object)})
+                order = order[~named.duplicated().to_numpy()]
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        inside = place < self.k
+        order, at = order[inside], (touched[row[inside]], place[inside])
+        self.scores[touched] = -np.inf
+        self.scores[at], self.ids[at] = score[order], id[order]
+        if group is not None:
+            self.groups[at] = group[order]
+
+    def rows(self) -> pd.DataFrame:
+        at = np.nonzero(self.scores > -np.inf)
+        columns = {"query": at[0], "id": self.ids[at], "score": self.scores[at]}
+        if self.groups is not None:
+            columns["group"] = self.groups[at]
+        return pd.DataFrame(columns)
+
+
+def kth_bound(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th best of every row reaches: the k-th of the best ones of runs of columns."""
+    run = max(1, scores.shape[1] // (8 * k))
+    best = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], run), axis=1)
+    best[np.isnan(best)] = -np.inf
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+
+
+def entering(scores: np.ndarray, floor: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of what can enter the list of its row, whose k-th score is the floor.
+
+    One comparison per cell: a list that is not full gets a bound on its k-th score first. Only rows that
+    many cells could enter are looked through for that score itself.
+    """
+    width = scores.shape[1]
+    least = floor - ROOM
+    short = np.flatnonzero(least == -np.inf)
+    if len(short) and width > k:
+        least[short] = kth_bound(scores[short] if len(short) < len(scores) else scores, k) - ROOM
+    keep = scores >= least[:, None]
+    cells = np.flatnonzero(keep)
+    if width > k and len(cells) > 4 * k * len(scores):
+        many = np.flatnonzero(np.bincount(cells // width, minlength=len(scores)) > 4 * k)
+        some = np.where(np.isnan(scores[many]), -np.inf, scores[many])
+        own = np.partition(some, width - k, axis=1)[:, width - k]
+        keep[many] = some >= np.maximum(least[many], own - ROOM)[:, None]
+        cells = np.flatnonzero(keep)
+    r, c = np.divmod(cells, width)
+    score = np.round(scores[r, c], SCORE_DIGITS)
+    keep = score > (0 if positive else -np.inf)
+    return r[keep], c[keep], score[keep]
+
+
+def pieces(block: dict) -> Iterator[dict]:
+    """A dense block in blocks of PIECE_ROWS."""
+    for start in range(0, block["n"], PIECE_ROWS):
+        inside = slice(start, start + PIECE_ROWS)
+        piece = {c: block[c][inside] for c in ("ids", "matrix", "groups", "codes") if c in block}
+        if "order" in block:
+            order = block["order"]
+            piece["order"] = order[(order >= start) & (order < start + PIECE_ROWS)] - start
+        yield piece
+
+
+def add_dense(lists: Lists, held: dict, block: dict, positive: bool) -> int:
+    """Rows of a dense block into the lists of held queries, a tile of queries at a time; the pairs compared."""
+    queries, rows, ids, groups = held["matrix"], block["matrix"], block["ids"], block.get("groups")
+    if not len(queries) or not len(rows):
+        return 0
+    if lists.distinct:
+        order = block["order"]
+        rows, ids, groups, first = rows[order], ids[order], groups[order], group_starts(block["codes"], order)
+    step = max(1, CELLS // len(rows))
+    for start in range(0, len(queries), step):
+        scores = queries[start : start + step] @ rows.T
+        floor = lists.floor[start : start + step]
+        if lists.distinct:
+            r, g, score = entering(np.maximum.reduceat(scores, first, axis=1), floor, lists.k, positive)
+            c, hit = first_of_group(scores, first, r, g, score)
+            r, score = r[hit], score[hit]
+        else:
+            r, c, score = entering(scores, floor, lists.k, positive)
+        lists.add(start + r, ids[c], score, None if groups is None else groups[c])
+    return len(queries) * len(rows)
 
 
 def near_clusters(block: dict, held: dict, floor: np.ndarray, positive: bool) -> tuple[pd.DataFrame, int] | None:
@@ -297,8 +457,12 @@ def near_clusters(block: dict, held: dict, floor: np.ndarray, positive: bool) ->
     if len(rows) < CLUSTERED_ROWS or not np.isfinite(floor).any():
         return None
     order, first, centres, radii = cluster(rows)
-    bound = queries @ centres.T + np.sqrt((queries * queries).sum(axis=1))[:, None] * radii
-    active = bound >= floor[:, None] - ROOM
+    active = np.empty((len(queries), len(first)), dtype=bool)
+    step = max(1, CELLS // len(first))
+    for start in range(0, len(queries), step):
+        part = queries[start : start + step]
+        bound = part @ centres.T + np.sqrt((part * part).sum(axis=1))[:, None] * radii
+        active[start : start + step] = bound >= floor[start : start + step, None] - ROOM
     size = np.diff(np.r_[first, len(rows)])
     pairs = int(active.sum(axis=0) @ size)
     if 2 * pairs > len(queries) * len(rows):
@@ -331,22 +495,28 @@ def best_for_held(
 ) -> pd.DataFrame:
     """Queries are held, corpus blocks stream by; a running best list per query."""
     held = index_block(held)
-    best, pairs = None, 0
+    lists, pairs = Lists(held["n"], k, distinct), 0
     for block in blocks:
-        near = near_clusters(block, held, floors(best, held["n"], k), positive) if best is not None and "matrix" in held else None
-        if near is not None:
-            best, pairs = k_best(pd.concat([best, near[0]]), k, distinct), pairs + near[1]
+        if "matrix" in held:
+            near = near_clusters(block, held, lists.floor, positive)
+            if near is None:
+                pairs += add_dense(lists, held, block, positive)
+                continue
+            found, n = near
+            lists.add(*(found[c].to_numpy() for c in found.columns))
+            pairs += n
             continue
         tally: list[int] = []
-        floor = floors(best, held["n"], k) if "wide" in held and best is not None else None
+        floor = lists.floor if lists.ids is not None else None
         for start, scores in score_chunks(block, held, floor, tally=tally):
             found = found_rows(scores.T, block, start, k, positive, distinct)
-            best = k_best(found if best is None else pd.concat([best, found]), k, distinct)
+            lists.add(*(found[c].to_numpy() for c in found.columns))
         pairs += sum(tally)
     if compared is not None:
         compared.add(pairs)
-    if best is None:
+    if lists.ids is None:
         return no_rows(grouped=grouped)
+    best = lists.rows()
     return best.assign(query=held["ids"][best["query"].to_numpy(dtype=np.int64)])
 
 
@@ -354,6 +524,15 @@ def best_for_streamed(
     block: dict, held: dict, k: int, positive: bool, distinct: bool = False, compared=None
 ) -> pd.DataFrame:
     """The corpus is held (and indexed), a block of queries streams by."""
+    if "matrix" in held:
+        lists = Lists(block["n"], k, distinct)
+        pairs = sum(add_dense(lists, block, piece, positive) for piece in pieces(held))
+        if compared is not None:
+            compared.add(pairs)
+        if lists.ids is None:
+            return no_rows(grouped="groups" in held)
+        best = lists.rows()
+        return best.assign(query=block["ids"][best["query"].to_numpy(dtype=np.int64)])
     parts, tally = [], []
     # Different groups need scores beyond the k best.
     for start, scores in score_chunks(block, held, k=None if distinct else k, tally=tally):

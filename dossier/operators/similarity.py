@@ -7,8 +7,10 @@ group, only the best row of each group counts, so k different groups come back w
   emits at most k rows per query and a window merges them;
 * corpus small (checked): it is broadcast, the queries stream past and are final at once;
 * neither: the smaller side is cut by hash into slabs of bounded size that are sent one after
-  another. The larger side streams past each of them and is never shuffled; the k best per slab are
-  written before the next slab is sent.
+  another. The larger side streams past each of them and is never shuffled by key; the k best per
+  slab are written before the next slab is sent.
+
+The side that streams past is dealt evenly to all cores if it is small beside the work (``_spread``).
 
 Dense rows that stream past held queries are clustered inside their block. Centre and radius bound
 every score of a cluster, so a cluster below a query's k-th score so far is not compared with it.
@@ -30,12 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.stages import hold, shared_dir
+from ..sources.stages import hold, settle, shared_dir
 from .blocks import best_for_held, best_for_streamed, index_block, make_block
 
 HELD_BYTES = 64 << 20
 TILE_BYTES = 64 << 20
 
+# The side that streams past is dealt to all cores if it has at most so many bytes per core and at least
+# so many pairs are to be compared. A small file, however many rows, would otherwise be one task.
+SPREAD_BYTES = 256 << 20
+SPREAD_PAIRS = 1 << 25
+SPREAD_QUERIES = 256
+
 
 def _side(df: DataFrame, id: str, vector: str | tuple[str, str], group: str | None = None) -> DataFrame:
     # Null vectors are dropped inside the blocks: a filter here would be pushed below the projection
@@ -61,6 +69,15 @@ def _measure(side: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def _spread(side: DataFrame, rows: int, size: int, other_rows: int, written: bool = False) -> DataFrame:
+    """The side that streams past, dealt to all cores where there is much to compare and little to move."""
+    cores = side.sparkSession.sparkContext.defaultParallelism
+    if rows * other_rows < SPREAD_PAIRS or size > SPREAD_BYTES * cores:
+        return side
+    dealt = side.repartition(cores)
+    return settle(dealt, "streamed") if written else dealt
+
+
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -94,17 +111,26 @@ def top_k(
 
     q_rows, q_bytes = _measure(q)
     if q_bytes <= held_bytes:
+        if q_rows >= SPREAD_QUERIES:
+            c = _spread(c, *_measure(c), q_rows)
         found, sent = search.hold_queries(q, c)
         hold(sent)
         found = search.best(found)
     else:
         c_rows, c_bytes = _measure(c)
         if c_bytes <= held_bytes:
-            found, sent = search.hold_corpus(q, c)
+            found, sent = search.hold_corpus(_spread(q, q_rows, q_bytes, c_rows), c)
             hold(sent)
             found = search.best(found)
         else:
-            found = search.slabs(q, c, q_bytes <= c_bytes, max(1, math.ceil(min(q_bytes, c_bytes) / tile_bytes)))
+            queries_are_small = q_bytes <= c_bytes
+            n = max(1, math.ceil(min(q_bytes, c_bytes) / tile_bytes))
+            # Every slab reads the larger side: dealt out and written once.
+            if queries_are_small:
+                c = _spread(c, c_rows, c_bytes, q_rows, written=n > 1)
+            else:
+                q = _spread(q, q_rows, q_bytes, c_rows, written=n > 1)
+            found = search.slabs(q, c, queries_are_small, n)
     return found.select(
         F.col("query").alias(query_id),
         F.col("id").alias(corpus_id),
