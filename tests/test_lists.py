@@ -85,3 +85,20 @@ def test_a_small_file_with_much_to_compare_is_dealt_to_all_cores(spark, monkeypa
     )
     assert sorted(similarity.top_k(queries, rows, 3).collect()) == sorted(few)
     assert dealt == [spark.sparkContext.defaultParallelism]
+
+
+def test_full_lists_of_sparse_rows_are_only_compared_with(monkeypatch):
+    rng = np.random.default_rng(2)
+    dense = (rng.random((1500, 60)) < 0.2) * rng.random((1500, 60))
+
+    def sparse(part, ids):
+        r, c = np.nonzero(part)
+        return {"ids": np.asarray(ids), "n": len(part), "rows": r, "keys": c, "values": part[r, c]}
+
+    looked, plain = [], blocks.found_rows
+    monkeypatch.setattr(blocks, "found_rows", lambda *a: (looked.append(1), plain(*a))[1])
+    streamed = (sparse(dense[i : i + 100], np.arange(i, i + 100)) for i in range(0, 1500, 100))
+    found = blocks.best_for_held(streamed, sparse(dense[:40], np.arange(40)), 3, True)
+    scores = dense[:40] @ dense.T
+    assert pairs(found) == by_hand(np.where(scores > 0, scores, -1), np.arange(1500), 3)
+    assert len(looked) < 8  # the first of 15 blocks, before the lists have filled
