@@ -114,3 +114,25 @@ def test_vectorize_has_no_exchange(docs):
     model = tfidf.fit(docs, "text", min_df=2)
     plan = tfidf.weight_text(docs, model, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_unbounded_vocabulary_counts_in_the_row_and_numbers_its_terms(spark):
+    from dossier.plans import matching
+
+    texts = [(1, "red apple red"), (1, "red plum"), (2, "green apple"), (3, None), (None, "apple")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    model = tfidf.fit(docs, "text", min_df=1, max_df=1.0, max_features=None)
+    # Rows of equal ids are one document.
+    found = tfidf.doc_terms(docs, model, "doc_id", "text")
+    assert {r["term"]: r["tf"] for r in found.filter("doc_id = 1").collect()} == {
+        "red": 3, "apple": 1, "plum": 1, "red apple": 1, "apple red": 1, "red plum": 1
+    }
+    numbers = {r["term"]: r["idx"] for r in model.numbered.collect()}
+    assert sorted(numbers.values()) == list(range(len(numbers)))
+    ids = tfidf.doc_term_ids(docs, model, "doc_id", "text")
+    assert rows(ids.select("doc_id", "tf", F.round("weight", 9))) == rows(found.select("doc_id", "tf", F.round("weight", 9)))
+    # No exchange of every term of every document, and no term in a vector.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "term" in x]
+    index = matching.MatchIndex(docs, model, sparse=True)
+    assert dict(index.with_vectors(docs, "text", "doc_id").dtypes)["vector_keys"] == "array<bigint>"
