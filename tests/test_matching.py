@@ -246,3 +246,19 @@ def test_jobs_at_equal_positions_link_once(spark):
     assert got["data engineer"] == ("j1", 2) and got["sales"] == ("j2", 1)
     assert got["pilot"] == ("title_" + md5(b"pilot").hexdigest(), 0)
     assert len(got) == link_by_token_overlap(titles, jobs).count() == 4
+
+
+def test_extraction_hands_texts_on_before_many_are_held():
+    import pyarrow as pa
+
+    from dossier.workload import queries
+
+    size = documents.HELD_CHARACTERS // 2
+    files = pa.RecordBatch.from_pylist([{"path": f"{i}.txt", "content": b"x" * size} for i in range(5)] + [{"path": "a.xyz", "content": b""}])
+    found = list(documents._extracted(iter([files]), documents.BUILT_IN))
+    assert [b.num_rows for b in found] == [2, 2, 2]
+    assert found[2].column("error").to_pylist() == [None, "unsupported file format: .xyz"]
+    texts = pa.RecordBatch.from_pylist([{"path": f"{i}.docx", "text": f"a & {i}"} for i in range(600)])
+    packages = list(queries._packages(iter([texts])))
+    assert [b.num_rows for b in packages] == [256, 256, 88]
+    assert documents.docx_text(packages[2].column("content")[87].as_py()).strip() == "a & 599"
