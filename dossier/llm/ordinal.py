@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,14 +152,15 @@ def score(
         return _with_scores(documents, scores, into)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("expected double, tail double")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("expected double, tail double")
+    def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, known = Features(dimensions), shared.value
         for texts in parts:
-            tails = np.array([known.tails(*features(t)) for t in texts]).reshape(len(texts), -1)
+            # One text at a time becomes a Python string, never a whole batch.
+            tails = np.array([known.tails(*features(t.as_py())) for t in texts]).reshape(len(texts), -1)
             # Every grade is at least 0; of grades above all ratings nothing is known.
-            tail = 1.0 if least <= 0 else tails[:, least - 1] if least <= tails.shape[1] else np.nan
-            yield pd.DataFrame({"expected": tails.sum(axis=1), "tail": tail})
+            tail = np.ones(len(texts)) if least <= 0 else tails[:, least - 1] if least <= tails.shape[1] else np.full(len(texts), np.nan)
+            yield pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tail)], names=["expected", "tail"])
 
     names = set(documents.columns)
     made = next(n for n in (f"_judged{'_' * i}" for i in range(len(names) + 1)) if n not in names)

@@ -128,3 +128,11 @@ def test_long_secrets_are_candidates():
     text = f"api_key = {token} end"
     assert ("secret", 10, 710) in pii.candidates(text)
     assert ("secret", 10, 210) not in pii.candidates(text) and pii.candidates("a" * 19) == []
+
+
+def test_slices_bound_what_a_task_holds():
+    from dossier.llm.words import slices
+
+    offsets = np.arange(9, dtype=np.int64) << 18
+    assert list(slices(offsets)) == [(0, 2), (2, 4), (4, 6), (6, 8)]
+    assert list(slices(np.array([0, 1 << 22, (1 << 22) + 5]))) == [(0, 1), (1, 2)]
