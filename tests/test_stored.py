@@ -404,3 +404,14 @@ def test_title_forms_by_dictionary(spark, held):
     assert rows(got) == rows(want)
     assert titles.title_dictionary(frame).count() == 2004
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_batch_of_counts_is_read_as_it_is(spark, tmp_path):
+    path, store = str(tmp_path / "corpus"), str(tmp_path / "store")
+    for part in (["red apple", "red plum"], ["green apple"]):
+        spark.createDataFrame([(t,) for t in part], "embedding_text string").coalesce(1).write.mode("append").parquet(path)
+        stored = term_store.stored_counts(spark.read.parquet(path), store)
+        moved = "Aggregate" in stored.counts._jdf.queryExecution().optimizedPlan().toString()
+        assert moved == (len(part) == 1)  # the second batch
+    counts = {r["term"]: (r["tf"], r["df"]) for r in stored.counts.collect()}
+    assert counts["apple"] == (2, 2) and counts["red"] == (2, 2) and counts["green apple"] == (1, 1)

@@ -136,3 +136,8 @@ def test_unbounded_vocabulary_counts_in_the_row_and_numbers_its_terms(spark):
     assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "term" in x]
     index = matching.MatchIndex(docs, model, sparse=True)
     assert dict(index.with_vectors(docs, "text", "doc_id").dtypes)["vector_keys"] == "array<bigint>"
+
+
+def test_terms_of_a_document_are_sorted_without_a_comparator(spark, docs):
+    plan = tfidf.term_counts(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
