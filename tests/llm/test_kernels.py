@@ -136,3 +136,21 @@ def test_slices_bound_what_a_task_holds():
     offsets = np.arange(9, dtype=np.int64) << 18
     assert list(slices(offsets)) == [(0, 2), (2, 4), (4, 6), (6, 8)]
     assert list(slices(np.array([0, 1 << 22, (1 << 22) + 5]))) == [(0, 1), (1, 2)]
+
+
+def test_bands_of_short_paragraphs_are_few_and_meet_at_the_threshold():
+    rng = np.random.default_rng(9)
+    bands, rows = paragraph_dedup.tune()
+    for n in range(1, 46):
+        for _ in range(20):
+            own = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+            x = own[:n]
+            gone = int(rng.integers(0, n // 4 + 1))
+            more = int(rng.integers(0, n // 3 + 1))
+            y = np.r_[x[gone:], own[n : n + more]]
+            of, key, lead = paragraph_dedup.band_keys(np.r_[x, x[:1], y], np.repeat([0, 1], [n + 1, len(y)]), bands, rows, 75)
+            assert lead.sum() == 2 and (np.diff(of) >= 0).all()
+            if n < 20:
+                assert (of == 0).sum() <= n // 4 + 1 <= bands
+            if 100 * (n - gone) >= 75 * (n + more):
+                assert set(key[of == 0]) & set(key[of == 1])

@@ -249,3 +249,19 @@ def test_paragraph_dedup_of_passages_across_lines(spark):
     for i in (2, 3, 5, 6):
         gone = [w for w in words[i] if w not in set(left[i])]
         assert len(gone) >= 25 and not any(w.startswith("o") for w in gone)
+
+
+def test_paragraph_dedup_takes_one_line_of_each_component(spark):
+    rng = np.random.default_rng(10)
+    base = [[f"b{g}_{i}" for i in range(14)] for g in range(6)]
+    lines = []
+    for k in range(120):
+        line = list(base[k % 6])
+        for at in (0, -1)[: k % 3]:
+            line[at] = f"x{rng.integers(0, 3)}"
+        lines.append(" ".join(line))
+    want = components({i: grams(x) for i, x in enumerate(lines)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for few in (2, 1000):
+        gone = {r.doc_id for r in paragraph_dedup.duplicates(docs, few=few).collect()}
+        assert gone == {i for i in want if want[i] != i}
