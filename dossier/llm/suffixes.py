@@ -1,84 +1,60 @@
-"""Suffix arrays by grouping, in linear time and without recursion.
+"""Suffix arrays by prefix doubling, with numpy and to any depth.
 
-Suffixes are grouped by their longest Lyndon prefix. Groups are taken from the highest to the
-lowest; each suffix points at the nearest suffix before it that lies in a lower group, and the ones
-pointed at move up, behind their old group, the higher the more often they are pointed at. The
-final order then follows from walking the pointers in rank order.
+Suffixes are ranked by as many symbols as fit one 64-bit number; the rank of two or three times as
+many follows from the ranks of as many places, until the depth is reached or all ranks differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
+
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """The values ``by`` places further; behind the end 0, which is below all."""
+    out = np.zeros_like(values)
+    if by < len(values):
+        out[: len(values) - by] = values[by:]
+    return out
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and which of them differ from the one before."""
+    order = np.argsort(key)
+    by = key[order]
+    return order, np.r_[np.ones(min(1, len(by)), bool), by[1:] != by[:-1]]
+
+
+def ordered(text: np.ndarray, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin ``at`` by their first ``depth`` symbols, and whether each differs from the one before.
+
+    The first array numbers the places of ``at``; the end of the text is below every symbol.
+    """
+    if text.dtype == np.uint8:
+        symbol = text.astype(np.int64) + 1
+    else:
+        symbol = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(symbol.max(initial=1)).bit_length()
+    known = min(63 // bits, depth)
+    key = symbol
+    for k in range(1, known):
+        key = (key << bits) | _ahead(symbol, k)
+    rank = np.empty(len(text), np.int64)
+    ways = 3 if len(text) < 1 << 20 else 2  # ranks in one number
+    while known < depth:
+        order, new = _sorted(key)
+        rank[order] = np.cumsum(new)
+        if new.all():
+            break
+        reach, key = min(ways * known, depth), rank
+        for k in range(1, ways):
+            key = key * (len(text) + 1) + _ahead(rank, min(k * known, reach - known))
+        known = reach
+    return _sorted(key[at])
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
     """Start positions of all suffixes in order; the end of the text is below every symbol."""
-    n = len(text)
-    if not n:
-        return []
-    symbols = sorted(set(text))
-    # A group: its members, the length of its Lyndon prefix, and its neighbours in rank order.
-    number = {c: k + 1 for k, c in enumerate(symbols)}
-    group = [number[c] for c in text]
-    group.append(0)  # the empty suffix: a group of its own, below all
-    members: list[list[int]] = [[n]] + [[] for _ in symbols]
-    for i in range(n):
-        members[group[i]].append(i)
-    length = [1] * len(members)
-    above = [*range(1, len(members)), -1]
-    below = list(range(-1, len(members) - 1))
-    smaller = [-1] * (n + 1)
-    done = bytearray(n + 1)
-    count = [0] * (n + 1)
-    high = len(members) - 1
-    while high >= 0:
-        held = [i for i in members[high] if group[i] == high]
-        held.sort()
-        width = length[high]
-        pointed = []
-        for i in held:
-            done[i] = 1
-            p = i - 1
-            while p >= 0 and done[p]:
-                p = smaller[p]
-            smaller[i] = p
-            if p >= 0:
-                if not count[p]:
-                    pointed.append(p)
-                count[p] += 1
-        members[high] = held
-        if pointed:
-            by: dict[tuple[int, int], list[int]] = {}
-            for p in pointed:
-                by.setdefault((count[p], group[p]), []).append(p)
-                count[p] = 0
-            for times, old in sorted(by, reverse=True):
-                new = len(members)
-                members.append(by[times, old])
-                length.append(length[old] + times * width)
-                above.append(above[old])
-                below.append(old)
-                if above[old] >= 0:
-                    below[above[old]] = new
-                above[old] = new
-                for p in by[times, old]:
-                    group[p] = new
-        high = below[high]
-    # Groups in rank order, and the place where each one begins.
-    begin, at, g = [0] * len(members), 0, 0
-    while g >= 0:
-        begin[g] = at
-        at += sum(1 for i in members[g] if group[i] == g)
-        g = above[g]
-    order = [-1] * (n + 1)
-    order[0] = n
-    placed = bytearray(n + 1)
-    placed[n] = 1
-    for k in range(n + 1):
-        i = order[k] - 1
-        while i >= 0 and not placed[i]:
-            placed[i] = 1
-            order[begin[group[i]]] = i
-            begin[group[i]] += 1
-            i = smaller[i]
-    return order[1:]
+    symbols = np.array(text, np.int64)
+    return ordered(symbols, len(symbols), np.arange(len(symbols)))[0].tolist()

@@ -43,6 +43,15 @@ def test_shared_windows(contexts):
     assert set(suffix_dedup.shared_windows(contexts, ids, 3)) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(97, 99), min_size=1, max_size=60), st.integers(1, 30))
+def test_suffixes_are_ordered_to_a_depth(text, depth):
+    order, new = suffixes.ordered(np.array(text, np.uint8), depth, np.arange(len(text)))
+    found = [text[i : i + depth] for i in order]
+    assert found == sorted(found)
+    assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<[\\/s>INST]| a", max_size=40))
 def test_escape_is_reversible_and_hides_control_strings(text):

@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, ties, repeated rows, empty and clashing columns."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -218,6 +219,30 @@ def test_suffix_dedup_of_a_passage_amid_different_text(spark):
     assert lost == want and set(want) == set(range(1, 301))
 
 
+def test_suffix_dedup_over_small_batches(spark):
+    rng = random.Random(17)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(90)) for _ in range(5)]
+    filler = lambda: "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 40)))
+    rows = [(i, filler() + "".join(rng.choice(passages)[rng.randint(0, 30) :] + filler() for _ in range(2))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    first, want = {}, {}
+    for i, t in rows:
+        for a in range(len(t) - 49):
+            if first.setdefault(t[a : a + 50], i) < i:
+                want.setdefault(i, set()).update(range(a, a + 50))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in (3, 10_000):
+            spark.conf.set(name, size)
+            lost = {}
+            for r in suffix_dedup.covered(docs).collect():
+                lost.setdefault(r.id, set()).update(range(r.start, r.end))
+            assert lost == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_nearest_with_a_few_long_vectors(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3000, 32))
