@@ -167,3 +167,27 @@ def test_sketches_never_rule_out_a_link():
             a, b = ngram_join.sketches([x, y] if n else [x[:0], y[:0]])
             bits = sum(int(v).bit_count() for v in a ^ b)
             assert bits <= len(np.setxor1d(x, y))
+
+
+def test_items_meet_about_once_however_many_keys_they_share(spark, monkeypatch):
+    rows = [(k, i, 10, 10, True) for k in range(60) for i in (1, 2, 3)] + [(100 + k, i, 10, 10, True) for k in range(60) for i in (4, 5)]
+    postings = spark.createDataFrame(rows, "key long, item long, size long, most long, head boolean")
+    met = []
+    real = linking._pairs
+    monkeypatch.setattr(linking, "_pairs", lambda frame: met.append(frame.count()) or real(frame))
+    none = linking.connect(postings, lambda pairs: pairs.filter("false"), lambda x, y: F.lit(True))
+    assert none.count() == 0
+    assert met[-1] <= 4  # one row for each pair, not for each of its keys
+    # The links of pairs that only meet at the end are found, keys of other items stay apart.
+    found = linking.connect(postings, lambda pairs: pairs.filter("a <> 4"), lambda x, y: F.lit(True))
+    assert {(r.node, r.label) for r in found.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(3)
+    for bits in (256, 1024):
+        for _ in range(20):
+            x, y = (np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(2))
+            a, b = ngram_join.sketches([x, y], bits)
+            assert a.shape == (bits // 64,)
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
