@@ -5,6 +5,7 @@ import pytest
 from helpers import rows
 
 from dossier.operators import blocks, similarity
+from dossier.plans import evaluation
 
 
 def sparse(dense, ids, groups=None):
@@ -81,3 +82,20 @@ def test_floors_of_a_sample_leave_the_lists_as_they_are(spark, monkeypatch):
     monkeypatch.setattr(similarity._Search, "with_floors", seen)
     assert rows(similarity.top_k(queries, corpus, 4, vector=("keys", "w"), held_bytes=-1, tile_bytes=40_000)) == want
     assert floors[0].filter("floor > 0").count() > 300
+
+
+def test_a_text_that_several_resumes_drew_is_matched_once(spark, monkeypatch):
+    from dossier.plans import matching
+
+    corpus = spark.createDataFrame([(i, f"T{i}", f"java spark w{i} w{i % 3}") for i in range(6)], "person_id int, title string, embedding_text string")
+    index = matching.build_index(corpus, sparse=True, min_df=1, max_df=1.0)
+    resumes = spark.createDataFrame([(i,) for i in range(40)], "resume_id int")
+    matched, plain = [], evaluation.match
+
+    def seen(queries, *a, **options):
+        matched.append(queries.count())
+        return plain(queries, *a, **options)
+
+    monkeypatch.setattr(evaluation, "match", seen)
+    done = evaluation.evaluate_matcher(index, resumes=resumes)
+    assert matched[0] <= 6 and done.results.select("resume_id").distinct().count() == 40
